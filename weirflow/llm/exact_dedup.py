@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,7 +80,7 @@ def _prints(primes: tuple[int, int]):
         for batch in text_blocks(batches):
             bodies = _normalised(batch)
             marks = [fingerprint(b, primes) for b in bodies]
-            lengths = pa.compute.fill_null(pa.compute.cast(pa.compute.utf8_length(batch.column("text")), pa.int64()), 0)
+            lengths = pc.fill_null(pc.cast(pc.utf8_length(batch.column("text")), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import exact_dedup, mixing, packing, quality_rules, token_counts
+from weirflow.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
 from weirflow.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
@@ -43,6 +51,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
