@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import exact_dedup, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
+from weirflow.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
 from weirflow.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
