@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
+from weirflow.llm import exact_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 from weirflow.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), width=35).drop("kept_text")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_earlier(table(spark, sf_dir, "documents"), width=50).drop("kept_bytes")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -52,7 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
