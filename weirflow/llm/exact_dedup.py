@@ -150,8 +150,13 @@ def exact_groups(documents: DataFrame, primes: tuple[int, int] = PRIMES, piece:
 
 
 def dedup(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents that stay, all their columns, one row for each group."""
-    kept = exact_groups(documents, **options).where("kept").select(F.col("doc_id").cast("long").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE_CHARS, ""), 256)
-    rows = documents.withColumn("_sha0", digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    return rows.drop("_sha0")
+    """The rows of documents that stay, all their columns, one row for each group. Rows that repeat both doc_id and text count as one."""
+    groups = written(exact_groups(documents, **options).select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_sha"), "kept"), "groups")
+    repeated = groups.groupBy("_doc", "_sha").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = written(repeated.where("not kept").select("_doc", "_sha"), "gone")
+    digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_CHARS, ""), 256)
+    rows = documents.withColumn("_sha0", digest)
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 4 else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_sha0") == F.col("_sha")), "left_anti")
+    if repeated.where("kept and n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_sha0"])
+    return out.drop("_sha0")

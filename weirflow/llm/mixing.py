@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.llm.common import SPACE
+from weirflow.llm.common import SPACE, text_blocks, written
 
 WEIGHTS = (3, 1, 2)
+#: Rows of a table of doc_id, size and share that may be broadcast (24 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -100,3 +106,42 @@ def mix_sizes(sizes: DataFrame, budget: float = 1.5, most: float = 2.0, block: i
     ahead = F.coalesce(F.sum("size").over(along), F.lit(0))
     more = F.least(F.col("size"), F.greatest(F.lit(0), F.coalesce(F.col("quota"), F.lit(0)) * block - ahead))
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + more).cast("long").alias("taken"))
+
+
+def _first_words(place: int, chars: int | None):
+    """Rows with each text as often as it is taken, the last one cut after the words that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(f"[^{SPACE}]+")
+        for batch in text_blocks(batches):
+            texts = batch.column(place).to_pylist()
+            rows, bodies = [], []
+            for i, (text, size, taken) in enumerate(zip(texts, batch.column("_size").to_pylist(), batch.column("_taken").to_pylist())):
+                rounds, rest = divmod(taken, size) if size else (0, 0)
+                bodies += [text] * rounds
+                if rest:
+                    bodies.append(text[: next(m.end() for k, m in enumerate(word.finditer(text), 1) if k == rest)])
+                rows += [i] * (rounds + bool(rest))
+            out = batch.take(pa.array(rows, pa.int64()))
+            columns = list(out.columns[:-2])
+            columns[place] = pa.array(bodies, pa.string())
+            if chars is not None:
+                columns[chars] = pa.array([len(b) for b in bodies], pa.int64()).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, out.schema.names[:-2])
+
+    return run
+
+
+def mixed(documents: DataFrame, **options) -> DataFrame:
+    """The mix itself, in documents' columns: a row for each time a text is taken, cut after its words where only a part is; n_chars follows.
+
+    A document is found by doc_id and size: rows that repeat both take what the least of them takes.
+    """
+    doc = F.col("doc_id").cast("long")
+    shares = written(mix(documents, **options).groupBy(F.col("doc_id").alias("_doc"), F.col("size").alias("_size")).agg(F.min("taken").alias("_taken")).where("_taken > 0"), "shares")
+    rows = documents.withColumn("_words", word_count(F.col("text")))
+    small = shares.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(shares) if small else shares, doc.eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size")))
+    names = documents.columns
+    chars = names.index("n_chars") if "n_chars" in names else None
+    return rows.select(*names, "_size", "_taken").mapInArrow(_first_words(names.index("text"), chars), documents.schema)

@@ -291,3 +291,10 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     final = known.select("sid", "doc_id", "label").join(second.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
     final = final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
     return rows.join(final, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents whose doc_id is the smallest of their component, all their columns; rows that share a doc_id are one document."""
+    found = linked(documents, words, percent).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_doc")).distinct()
+    gone = written(found, "gone")
+    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_anti")
