@@ -37,12 +37,14 @@ def log_us(value: Column) -> Column:
 
 #: 2000-01-01 in microseconds: an earlier label time is taken for another unit.
 _LABELS_FROM = 946_684_800_000_000
+#: The last whole second that nanoseconds in a long can tell: a larger number is not one of seconds.
+_LAST_SECOND = 9_223_372_036
 
 
 def label_us(value: Column) -> Column:
     """A label table's time: ISO text, else seconds or else milliseconds, whichever falls after 2000."""
     number = value.try_cast("double")
-    seconds, millis = F.round(number * 1e6).try_cast("long"), F.round(number * 1e3).try_cast("long")
+    seconds, millis = F.when(number <= _LAST_SECOND, F.round(number * 1e6)).try_cast("long"), F.round(number * 1e3).try_cast("long")
     return F.coalesce(iso_us(value), F.when(seconds >= _LABELS_FROM, seconds), F.when(millis >= _LABELS_FROM, millis))
 
 

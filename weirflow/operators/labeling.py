@@ -80,7 +80,7 @@ def schedule_2018(spark: SparkSession) -> DataFrame:
     early, late = F.lit(OTHER_BUFFER[0]), F.lit(OTHER_BUFFER[1])
     for name, (a, b) in BUFFERS.items():
         early, late = F.when(F.col("name") == name, a).otherwise(early), F.when(F.col("name") == name, b).otherwise(late)
-    us = lambda c, more: F.unix_micros(F.to_utc_timestamp(F.to_timestamp(c), "UTC")) + (F.lit(shift) + more) * 1_000_000
+    us = lambda c, more: F.unix_micros(F.to_utc_timestamp(F.to_timestamp(c), "UTC")) + (F.lit(shift) + more).cast("long") * 1_000_000
     return rows.select("ordinal", "name", us("s", -early).alias("start_us"), us("e", late).alias("end_us"), "attackers", "victims", F.col("name").isin(*BOTH_WAYS).alias("both_ways"))
 
 

@@ -20,15 +20,15 @@ def in_time_order(df: DataFrame, ts: Column, offset: str) -> DataFrame:
     return df.orderBy(ts.asc_nulls_last(), F.col(offset))
 
 
-def is_in_order(df: DataFrame, ts: str, offset: str) -> DataFrame:
-    """in_order: whether no row is before an earlier one, told from neighbours in ranges of offset and the edges of those ranges."""
-    span = 1 << 20
+def is_in_order(df: DataFrame, ts: str, offset: str, span: int = 1 << 20) -> DataFrame:
+    """in_order: whether no row is before an earlier one (rows without a time aside), told inside ranges of offset and from the bounds of those ranges."""
     part = F.floor(F.col(offset) / span)
-    own = Window.partitionBy(part).orderBy(offset)
-    steps = df.select(part.alias("part"), F.col(ts).alias("t"), F.lag(ts).over(own).alias("prev"), F.col(offset).alias("o"))
-    ends = steps.groupBy("part").agg(F.count_if(F.col("t") < F.col("prev")).alias("bad"), F.min_by("t", "o").alias("first"), F.max_by("t", "o").alias("last"))
-    edge = F.col("first") < F.lag("last").over(Window.orderBy("part"))
-    return ends.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("int")).agg((F.coalesce(F.sum("bad"), F.lit(0)) + F.coalesce(F.sum("edge"), F.lit(0)) == 0).alias("in_order"))
+    before = Window.partitionBy(part).orderBy(offset).rowsBetween(Window.unboundedPreceding, -1)
+    steps = df.select(part.alias("part"), F.col(ts).alias("t"), F.max(ts).over(before).alias("high"))
+    ends = steps.groupBy("part").agg(F.count_if(F.col("t") < F.col("high")).alias("bad"), F.min("t").alias("low"), F.max("t").alias("top"))
+    edge = F.col("low") < F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    found = ends.withColumn("edge", F.coalesce(edge, F.lit(False)).cast("long"))
+    return found.agg((F.coalesce(F.sum(F.col("bad") + F.col("edge")), F.lit(0)) == 0).alias("in_order"))
 
 
 def ranges(df: DataFrame, n: int, ts: str, offset: str) -> DataFrame:

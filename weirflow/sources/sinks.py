@@ -45,7 +45,7 @@ def append_json(df: DataFrame, path: str) -> None:
 
 def weights(df: DataFrame) -> DataFrame:
     """flow_key, sample_weight, risk, rule of weakly labelled rows."""
-    return df.select("flow_key", F.format_number(decisions.sample_weight(F.col("tier")), "0.000").alias("sample_weight"), F.concat(F.lit("mawi_"), "tier").alias("risk"), "rule")
+    return df.select("flow_key", F.format_string("%.3f", decisions.sample_weight(F.col("tier"))).alias("sample_weight"), F.concat(F.lit("mawi_"), "tier").alias("risk"), "rule")
 
 
 def original_lines(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
