@@ -8,7 +8,10 @@ one of them.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +29,46 @@ GROUP = 8_000
 _encoders: dict[str, "Words"] = {}
 
 
+#: Words that are encoded without the tokenizer's own splitting: Latin letters, then punctuation that its pattern keeps together.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([-!\"#$%&()*+,./:;<=>?@^_|~]*)")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write bytes with: printable bytes as themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merge_encoder(spec: dict):
+    """A function from a piece of a word to its ids, for a vocabulary that marks ends of words and numbers its merges in order; else None.
+
+    The mark becomes a byte that no UTF-8 text has. As every token comes from one merge and ids rise with merges, merging by the
+    least id is merging by rank.
+    """
+    model, letters = spec.get("model", {}), _byte_letters()
+    mark = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not mark or model.get("byte_fallback") or model.get("dropout"):
+        return None
+    vocab = model["vocab"]
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    ids = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(ids, ids[1:])) or (ids and ids[0] <= max(vocab[c] for c in letters)):
+        return None
+    ranks: dict[bytes, int] = {}
+    for token, number in vocab.items():
+        if token in special:
+            continue
+        end = token.endswith(mark)
+        body = token.removesuffix(mark)
+        if any(c not in letters for c in body):
+            return None
+        ranks[bytes(letters[c] for c in body) + b"\xff" * end] = number
+    import tiktoken
+
+    return tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Words(dict):
     """Little-endian 32-bit ids by white-space word, for a tokenizer that drops white space; two halves, the older dropped when full."""
 
@@ -33,24 +76,34 @@ class Words(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        with open(path) as f:
+            self.merge = merge_encoder(json.load(f))
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
-    def learn(self, found: set[bytes]) -> None:
-        missing = found.difference(self)
-        known = {w: self.older[w] for w in missing if w in self.older}
-        rest = [w for w in missing if w not in known]
-        coded = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))}
-        if len(self) + len(missing) > CACHE:
+    def ids(self, word: bytes) -> list[int]:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text) if self.merge else None
+        if plain is None:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        found: list[int] = []
+        for part in plain.groups():
+            if part:
+                found += self.merge(part.lower().encode() + b"\xff")
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        coded = self.older.get(word)
+        if coded is None:
+            coded = array("I", self.ids(word)).tobytes()
+        if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-            self.update((w, self.older[w]) for w in found if w in self.older)
-        self.update(known)
-        self.update(coded)
+        self[word] = coded
+        return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+        get = self.__getitem__
+        return [b"".join(map(get, t.encode().split())) for t in texts]
 
 
 def word_encoder(path: str) -> Words:
@@ -64,8 +117,6 @@ def word_encoder(path: str) -> Words:
 
 def drops_space(path: str) -> bool:
     """Whether the tokenizer leaves out white space, so that words can be encoded apart."""
-    import json
-
     with open(path) as f:
         spec = json.load(f)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
