@@ -122,13 +122,13 @@ def certified(values: DataFrame, labels: DataFrame, limit: float, delta: float,
     return best.select("stratum", "rule", F.col("best.rung").alias("rung")).selectExpr("stratum", "rule", f"{CUTOFF} as cutoff")
 
 
-def judged(documents: DataFrame, labels: DataFrame, limit: float = 0.02, delta: float = 0.05, price: float = 5.0) -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, limit: float = 0.02, delta: float = 0.05, price: float = 100.0) -> DataFrame:
     """One row per document: doc_id, n_words, the four counts, base_failed, kept.
 
     documents needs doc_id and text, labels doc_id and quality (1 clean, 0 low); other columns are ignored. A null text
     is empty and fails the base rules. A null quality is no label; where a doc_id has several labels the highest holds. Rows
     that repeat are judged each. Without enough labels no cutoff can be certified, and only the base rules reject. limit is
-    the rate of clean rows of a stratum that all certified rules together may reject, delta the chance that it is exceeded.
+    the rate of clean rows of a stratum that all certified rules together may reject, delta the chance that it is exceeded. price is the number of low rows that must go for each clean one.
     """
     values = written(measured(documents), "quality")
     chosen = certified(values, labels, limit, delta, price)
