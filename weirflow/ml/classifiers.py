@@ -45,15 +45,23 @@ def multiclass(df: DataFrame, names: tuple[str, ...], label: str, trees: int = 1
     return random_forest(index.transform(df), names, "_label", trees, depth, seed), tuple(index.labels)
 
 
+def _transformed(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """df with the model's probabilities as the array _p; df's own columns stay, also those named like the model's."""
+    clash = [c for c in ("rawPrediction", "probability", "prediction", "_features") if c in df.columns]
+    aside = df.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    out = model.transform(aside).withColumn("_p", vector_to_array("probability"))
+    return out.select(*[F.col(f"_own_{c}").alias(c) if c in clash else F.col(c) for c in df.columns], "_p")
+
+
 def probability(model: PipelineModel, df: DataFrame, name: str = "probability", of: int = 1) -> DataFrame:
     """df with the probability of a class."""
-    out = model.transform(df).withColumn(name + "_", vector_to_array("probability")[of])
-    return out.select(*[c for c in df.columns if c != name], F.col(name + "_").alias(name))
+    out = _transformed(model, df)
+    return out.select(*[c for c in df.columns if c != name], F.col("_p")[of].alias(name))
 
 
 def second_stage(model: PipelineModel, classes: tuple[str, ...], df: DataFrame, first: str, floor: float = 0.70) -> DataFrame:
     """df with attack_type and attack_confidence, unknown and 0 where the first stage's probability is below the floor."""
-    out = model.transform(df).withColumn("_p", vector_to_array("probability"))
+    out = _transformed(model, df)
     best = F.array_max("_p")
     named = F.get(F.array(*[F.lit(c) for c in classes]), F.array_position("_p", best).cast("int") - 1)
     hit = F.col(first) >= floor
