@@ -6,10 +6,11 @@ the threshold, but for those that verified links already connect:
 1. Leaders. Nodes that share a minimum of a few hash functions are compared with the least node among them. That takes a number of
    pairs linear in the nodes and connects most families of near copies.
 2. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
-   first. Prefix shingles are dealt to shards; in a tile (the nodes of one prefix shingle, in bands of size by a window over sorted sizes) pairs whose
-   sizes allow the similarity and which are not connected yet are candidates.
+   first. Prefix shingles are dealt to shards; a tile is the nodes of one prefix shingle, in bands of size by a window over sorted sizes.
+   Nodes that have a partner of like size in a tile, not connected yet, are given their bitmap and meet in the tile's shard again.
 3. Bitmaps. Each node has a bitmap of at least two bits a shingle, in which every shingle toggles one bit. The bits in which two
-   bitmaps differ are at most the symmetric difference, so that their count bounds the overlap from above.
+   bitmaps differ are at most the symmetric difference, so that their count bounds the overlap from above. Pairs are only formed in a
+   tile's task, and leave it only if sizes, places in the prefixes and bitmaps all allow the similarity.
 4. What is left is intersected exactly, as sorted arrays.
 """
 
@@ -119,7 +120,7 @@ def _sets(n: int):
     return run
 
 
-_ENTRY = np.dtype([("shingle", "<u4"), ("size", "<u4"), ("sid", "<i8"), ("label", "<i8")])
+_ENTRY = np.dtype([("shingle", "<u4"), ("size", "<u4"), ("place", "<u4"), ("sid", "<i8"), ("label", "<i8")])
 
 
 def _prefixes(n: int, percent: int, shards: int, frequent):
@@ -150,6 +151,8 @@ def _prefixes(n: int, percent: int, shards: int, frequent):
             entries["shingle"] = (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             for name, column in (("size", sizes), ("sid", sids), ("label", labels)):
                 entries[name] = np.repeat(np.array(column), lengths)
+            lengths = np.array(lengths)
+            entries["place"] = np.arange(len(spread)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             parts = np.split(entries[order], cuts)
@@ -158,33 +161,109 @@ def _prefixes(n: int, percent: int, shards: int, frequent):
     return run
 
 
-def tile_pairs(entries: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Pairs (sid, sid) of entries of one prefix shingle whose sizes allow the similarity and whose labels differ."""
-    entries = entries[np.lexsort((entries["sid"], entries["size"], entries["shingle"]))]
-    tile, size, sid, label = (np.ascontiguousarray(entries[c]) for c in ("shingle", "size", "sid", "label"))
+def _sorted(entries: np.ndarray) -> np.ndarray:
+    return entries[np.lexsort((entries["sid"], entries["size"], entries["shingle"]))]
+
+
+def with_partner(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sorted entries may have a partner: another node of like size in a tile with more than one label, places allowing."""
+    n = len(entries)
+    if not n:
+        return np.zeros(0, bool)
+    tile, size, label = entries["shingle"], entries["size"].astype(np.int64), entries["label"]
+    heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+    lengths = np.diff(np.r_[heads, n])
+    mixed = np.repeat(np.minimum.reduceat(label, heads) != np.maximum.reduceat(label, heads), lengths)
+    same = np.r_[tile[1:] == tile[:-1], False]
+    near = same & np.r_[100 * size[:-1] >= percent * size[1:], False]
+    paired = mixed & (near | np.r_[False, near[:-1]])
+    # The smallest size that goes with an entry's asks for the least overlap; what precedes its place in the prefix cannot be in it.
+    key = tile.astype(np.uint64) << np.uint64(32)
+    low = np.searchsorted(key | size.astype(np.uint64), key | ((percent * size + 99) // 100).astype(np.uint64))
+    rest = size - entries["place"]
+    return paired & (100 * rest >= percent * (size + size[np.minimum(low, n - 1)] - rest))
+
+
+def _partners(percent: int):
+    """Of a shard, the nodes that may have a partner, each with its tiles and places."""
+
+    def run(group: pa.Table) -> pa.Table:
+        entries = _sorted(np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]))
+        entries = entries[with_partner(entries, percent)]
+        entries = entries[np.argsort(entries["sid"], kind="stable")]
+        heads = np.flatnonzero(np.r_[True, entries["sid"][1:] != entries["sid"][:-1]]) if len(entries) else np.zeros(0, np.int64)
+        shard = group.column("shard")[0].as_py()
+        parts = np.split(entries, heads[1:]) if len(heads) else []
+        return pa.table({"shard": pa.array([shard] * len(heads), pa.int64()), "sid": pa.array(entries["sid"][heads]), "blob": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    return run
+
+
+class Bitmaps:
+    """Bitmaps of a group's nodes, in a matrix for each width."""
+
+    def __init__(self, bitmaps: list[bytes]):
+        self.width = np.array([len(b) // 8 for b in bitmaps])
+        self.row = np.zeros(len(bitmaps), np.int64)
+        self.matrix: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+            self.matrix[w] = np.frombuffer(b"".join(bitmaps[i] for i in own.tolist()), np.uint64).reshape(len(own), w)
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bits differ in each pair, the wider bitmap folded to the other's width."""
+        out = np.zeros(len(a), np.int64)
+        kinds = self.width[a] * (1 << 32) + self.width[b]
+        for kind in np.unique(kinds).tolist():
+            at = np.flatnonzero(kinds == kind)
+            wide, narrow = kind >> 32, kind & 0xFFFFFFFF
+            step = max(1, (1 << 21) // max(wide, narrow))
+            for begin in range(0, len(at), step):
+                part = at[begin : begin + step]
+                x, y = self.matrix[wide][self.row[a[part]]], self.matrix[narrow][self.row[b[part]]]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def tile_pairs(entries: np.ndarray, node: np.ndarray, bitmaps: Bitmaps, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of rows of sorted entries of one tile which sizes, labels, places and bitmaps allow to be similar; node is an entry's bitmap."""
+    tile, size, label, place = entries["shingle"], entries["size"].astype(np.int64), entries["label"], entries["place"].astype(np.int64)
     at = np.arange(len(entries))
     # Sizes rise in a tile: once a partner is too large for an entry, all later ones are.
     for lag in range(1, len(entries)):
         at = at[at + lag < len(entries)]
         to = at + lag
-        near = (tile[at] == tile[to]) & (100 * size[at].astype(np.int64) >= percent * size[to].astype(np.int64))
+        near = (tile[at] == tile[to]) & (100 * size[at] >= percent * size[to])
         at = at[near]
         if not len(at):
             return
         to = at + lag
-        apart = label[at] != label[to]
-        if apart.any():
-            a, b = sid[at[apart]], sid[to[apart]]
-            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+        rest = np.minimum(size[at] - place[at], size[to] - place[to])
+        both = size[at] + size[to]
+        fine = (label[at] != label[to]) & (100 * rest >= percent * (both - rest))
+        a, b, both = at[fine], to[fine], both[fine]
+        if len(a):
+            bound = (both - bitmaps.differing(node[a], node[b])) // 2
+            fine = 100 * bound >= percent * (both - bound)
+            if fine.any():
+                yield np.stack([a[fine], b[fine]], axis=1)
 
 
 def _tiles(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()])
+        parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]
+        entries, node = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        order = np.lexsort((entries["sid"], entries["size"], entries["shingle"]))
+        entries, node = entries[order], node[order]
         held, found = 0, [np.zeros((0, 2), np.int64)]
-        for pairs in tile_pairs(entries, percent):
-            found.append(pairs)
-            held += len(pairs)
+        for rows in tile_pairs(entries, node, Bitmaps(group.column("bits").to_pylist()), percent):
+            found.append(np.sort(entries["sid"][rows], axis=1))
+            held += len(rows)
             if held > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
                 held = len(found[0]) // 2
@@ -238,19 +317,23 @@ def _verified(percent: int):
     return run
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: first by bitmaps, then by exact intersection."""
+def _near(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps allow to be similar."""
     bits = nodes.select("sid", "bits", F.col("n_shingles").alias("size"))
     side = lambda s: bits.select(F.col("sid").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("size").alias(f"size_{s}"))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long"), "pairs")
-    wanted = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct().join(nodes.select("sid", "doc_id"), "sid")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table that are similar, by exact intersection."""
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(nodes.select("sid", "doc_id"), "sid")
     wanted = written(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.sid")
     arrays = written(texts.mapInArrow(_arrays(n), "sid long, data binary").dropDuplicates(["sid"]), "arrays")
     half = lambda s: arrays.select(F.col("sid").alias(s), F.col("data").alias(f"data_{s}"))
-    return near.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), "a long, b long")
+    return pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), "a long, b long")
 
 
 def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -275,6 +358,7 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     keyed = nodes.select("sid", F.posexplode("leaders").alias("which", "key"))
     least = keyed.groupBy("which", "key").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = keyed.join(least, ["which", "key"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    pairs = written(_near(nodes, pairs, percent), "pairs")
     first = written(components(_links(docs, nodes, pairs, words, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
     # 2. Tiles.
     known = nodes.select("sid", "doc_id").join(first.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -284,7 +368,8 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     texts = docs.alias("d").join(stand.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.text", "k.sid", "k.label")
     blobs = texts.mapInArrow(_prefixes(words, percent, shard_count(spark), frequent), "shard long, blob binary")
     # 3 and 4.
-    candidates = written(blobs.groupBy("shard").applyInArrow(_tiles(percent), "a long, b long").distinct(), "candidates")
+    met = blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary").join(nodes.select("sid", "bits"), "sid")
+    candidates = written(met.groupBy("shard").applyInArrow(_tiles(percent), "a long, b long").distinct(), "candidates")
     more = _links(docs, nodes, candidates, words, percent)
     label = lambda s: known.select(F.col("sid").alias(s), F.col("label").alias(f"label_{s}"))
     second = components(more.join(label("a"), "a").join(label("b"), "b").select(F.col("label_a").alias("u"), F.col("label_b").alias("v")))
