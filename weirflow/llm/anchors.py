@@ -11,22 +11,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.llm.common import shard_count, text_blocks, written
 from weirflow.llm.ngram_join import mix
 
+#: Symbols in a gram, unless a caller says otherwise: enough that most grams are as rare as what they stand in.
 GRAM = 8
 _PLACE = np.uint64((1 << 30) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _ALL = 0xFFFFFFFFFFFFFFFF
-#: Bytes and rows of a table keyed by document that may be broadcast instead of shuffling the texts.
-BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1_000_000
+#: Rows of the table of copied texts (32 bytes each) that may be broadcast instead of shuffling the texts.
+BROADCAST_ROWS = 500_000
 
 
-def window_anchors(codes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+def gram_hashes(codes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram that starts at each place, from those of its halves; two that overlap fill up what is no power of two."""
+    out, span = codes, 1
+    while 2 * span <= gram:
+        out = out[: len(out) - span] * np.uint64(pow(_BASE, span, 1 << 64)) + out[span:]
+        span *= 2
+    if gram > span:
+        out = out[: len(out) - (gram - span)] * np.uint64(pow(_BASE, gram, 1 << 64)) + out[gram - span :]
+    return mix(out)
+
+
+def window_anchors(codes: np.ndarray, lengths: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchors of all windows of sequences that lie one after another in codes.
 
     Returns per anchor: sequence, hash, place, first and last start of its windows; places and starts count from the sequence's start.
@@ -37,12 +49,8 @@ def window_anchors(codes: np.ndarray, lengths: np.ndarray, width: int) -> tuple[
     fits = lengths >= width
     if not fits.any():
         return none
-    grams, span = codes, 1
-    while span < GRAM:
-        grams = grams[:-span] * np.uint64(pow(_BASE, span, 1 << 64)) + grams[span:]
-        span *= 2
-    grams = mix(grams)
-    least, span, count = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1, width - GRAM + 1
+    grams = gram_hashes(codes, gram)
+    least, span, count = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1, width - gram + 1
     while 2 * span <= count:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -84,11 +92,14 @@ def copies(docs: DataFrame) -> DataFrame:
     return docs.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", F.col("least.key").alias("stand"), F.col("n").alias("copies"))
 
 
-def with_table(docs: DataFrame, table: DataFrame, keys: list[str], how: str, size: Column | None = None) -> DataFrame:
-    """docs joined with a written table; that is broadcast only if it was counted and is small."""
-    held = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0))).first()
-    small = held[0] <= BROADCAST_ROWS and held[1] + 32 * held[0] <= BROADCAST_BYTES
-    return docs.join(F.broadcast(table) if small else table, keys, how)
+def with_copies(docs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """docs with the columns of a written table of copied texts, null for other texts; that is broadcast only if it was counted and is small."""
+    return docs.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys, "left")
+
+
+def with_table(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """docs with the columns of a table by key. Such a table grows with the texts: both sides are shuffled at any size."""
+    return docs.join(table.hint("merge"), "key", how)
 
 
 def _blobs(shard: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
@@ -116,11 +127,11 @@ def _parsed(blobs: pa.ChunkedArray, kinds: list[str]) -> list[np.ndarray]:
 _ENTRY = ["<u8", "<i8", "<i8", "<u4"]
 
 
-def _anchor_entries(codes_of: Callable, width: int, shards: int):
+def _anchor_entries(codes_of: Callable, width: int, gram: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 2 << 20):
             codes, lengths, _ = codes_of(batch.column("text").to_pylist())
-            which, hashes, place, _, _ = window_anchors(codes, lengths, width)
+            which, hashes, place, _, _ = window_anchors(codes, lengths, width, gram)
             if not len(which):
                 continue
             keys, ranks = (batch.column(c).to_numpy()[which] for c in ("key", "rank"))
@@ -153,9 +164,9 @@ def _repeated_anchors(by_rank: bool):
     return run
 
 
-def repeated_anchors(docs: DataFrame, codes_of: Callable, width: int, by_rank: bool) -> DataFrame:
+def repeated_anchors(docs: DataFrame, codes_of: Callable, width: int, gram: int, by_rank: bool) -> DataFrame:
     """key, places (32-bit, in parts) of the anchors of docs (key, rank, text) that occur more than once."""
-    blobs = docs.select("key", "rank", "text").mapInArrow(_anchor_entries(codes_of, width, shard_count(docs.sparkSession)), "shard long, blob binary")
+    blobs = docs.select("key", "rank", "text").mapInArrow(_anchor_entries(codes_of, width, gram, shard_count(docs.sparkSession)), "shard long, blob binary")
     found = blobs.groupBy("shard").applyInArrow(_repeated_anchors(by_rank), "key long, places binary")
     return written(found.groupBy("key").agg(F.collect_list("places").alias("places")), "anchors")
 
@@ -163,13 +174,13 @@ def repeated_anchors(docs: DataFrame, codes_of: Callable, width: int, by_rank: b
 _CONTEXT = ["<i8", "<i8", "<u4", "<u1", "<u4"]
 
 
-def _contexts(codes_of: Callable, cut: Callable, width: int, shards: int):
+def _contexts(codes_of: Callable, cut: Callable, width: int, gram: int, shards: int):
     """What the windows of repeated anchors cover, dealt to shards by the anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, 2 << 20):
             codes, lengths, bodies = codes_of(batch.column("text").to_pylist())
-            which, hashes, place, first, last = window_anchors(codes, lengths, width)
+            which, hashes, place, first, last = window_anchors(codes, lengths, width, gram)
             wanted = [np.frombuffer(b"".join(p), "<u4").astype(np.int64) + (i << 32) for i, p in enumerate(batch.column("places").to_pylist())]
             chosen = np.isin(which * (1 << 32) + place, np.concatenate(wanted))
             which, hashes, first, last = which[chosen], hashes[chosen], first[chosen], last[chosen]
@@ -219,15 +230,16 @@ def _judged(judge: Callable):
 _MARK = np.dtype([("first", "<u4"), ("mask", "<u8")])
 
 
-def marked_windows(docs: DataFrame, codes_of: Callable, cut: Callable, width: int, by_rank: bool, judge: Callable) -> DataFrame:
+def marked_windows(docs: DataFrame, codes_of: Callable, cut: Callable, width: int, by_rank: bool, judge: Callable, gram: int = GRAM) -> DataFrame:
     """key, marks: for each document with windows that judge marks, their starts as (first, mask) pairs in parts.
 
-    docs has key, rank, weight, text. codes_of turns texts into codes, lengths and bodies; cut takes a part of a body as bytes.
+    A mask has a bit for each window of an anchor: width is less than gram + 64. docs has key, rank, weight, text. codes_of turns texts into codes, lengths and bodies; cut takes a part of a body as bytes.
     """
-    places = repeated_anchors(docs, codes_of, width, by_rank)
-    sized = F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
-    flagged = with_table(docs.select("key", "rank", "weight", "text"), places, ["key"], "inner", sized)
-    parts = flagged.mapInArrow(_contexts(codes_of, cut, width, shard_count(docs.sparkSession)), "shard long, head binary, body binary")
+    if not gram <= width < gram + 64:
+        raise ValueError(f"windows of {width} cannot have grams of {gram}")
+    places = repeated_anchors(docs, codes_of, width, gram, by_rank)
+    flagged = with_table(docs.select("key", "rank", "weight", "text"), places, "inner")
+    parts = flagged.mapInArrow(_contexts(codes_of, cut, width, gram, shard_count(docs.sparkSession)), "shard long, head binary, body binary")
     found = parts.groupBy("shard").applyInArrow(_judged(judge), "key long, marks binary")
     return written(found.groupBy("key").agg(F.collect_list("marks").alias("marks")), "marks")
 
@@ -237,7 +249,7 @@ def covered(marks: list[bytes] | None, length: int, width: int) -> np.ndarray:
     change = np.zeros(length + 1, np.int32)
     if marks:
         pairs = np.frombuffer(b"".join(marks), _MARK)
-        bits = (pairs["mask"][:, None] >> np.arange(width - GRAM + 1, dtype=np.uint64)) & np.uint64(1)
+        bits = (pairs["mask"][:, None] >> np.arange(min(64, width), dtype=np.uint64)) & np.uint64(1)
         row, offset = np.nonzero(bits)
         starts = pairs["first"][row].astype(np.int64) + offset
         np.add.at(change, starts, 1)

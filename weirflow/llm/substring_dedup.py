@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.anchors import copies, covered, keyed, marked_windows, with_table
+from weirflow.llm.anchors import GRAM, copies, covered, keyed, marked_windows, with_copies, with_table
 from weirflow.llm.common import text_blocks, written
 from weirflow.llm.ngram_join import WordHashes, mix
 
@@ -198,11 +198,10 @@ def without_repeats(documents: DataFrame, width: int = 50) -> DataFrame:
     """
     docs = keyed(documents)
     twice = written(copies(docs), "copies")
-    marked = with_table(docs, twice, ["d1", "d2"], "left")
+    marked = with_copies(docs, twice, ["d1", "d2"])
     # Of equal texts one takes part, with a weight of two.
     alone = marked.where("stand is null or key = stand").withColumn("weight", F.when(F.col("stand").isNull(), 1).otherwise(2))
-    windows = marked_windows(alone, WordCodes(), lambda body, a, b: b" ".join(body[a:b]), width, False, _judge(width))
-    size = F.aggregate("marks", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+    windows = marked_windows(alone, WordCodes(), lambda body, a, b: b" ".join(body[a:b]), width, False, _judge(width), min(GRAM, width))
     rows = marked.select("doc_id", "key", "text", F.col("stand").isNotNull().alias("copied"))
-    rows = with_table(rows, windows, ["key"], "left", size)
+    rows = with_table(rows, windows, "left")
     return rows.select("doc_id", "text", "copied", "marks").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
