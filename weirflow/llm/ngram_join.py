@@ -3,8 +3,9 @@
 Documents are sets of 64-bit shingle hashes; equal sets are one node. The join finds all pairs of nodes whose similarity reaches
 the threshold, but for those that verified links already connect:
 
-1. Leaders. Nodes that share a minimum of a few hash functions are compared with the least node among them. That takes a number of
-   pairs linear in the nodes and connects most families of near copies.
+1. Leaders. Nodes that share a minimum of a few hash functions are compared with one node among them, in a few rounds with another such leader
+   each, as far as they are not connected yet. That takes a number of pairs linear in the nodes and connects nearly all of a
+   family of near copies, also where half of its pairs are not similar enough.
 2. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
    first. Prefix shingles are dealt to shards; a tile is the nodes of one prefix shingle, in bands of size by a window over sorted sizes.
    Nodes that have a partner of like size in a tile, not connected yet, are given their bitmap and meet in the tile's shard again.
@@ -29,7 +30,7 @@ from weirflow.llm.linkage import components
 
 #: Buckets in which tasks count shingles, and the frequent ones that a task reports and that are kept.
 BUCKETS, REPORT, FREQUENT = 1 << 20, 2_048, 65_536
-LEADERS = 6
+LEADERS, ROUNDS = 6, 4
 WORD_CACHE = 200_000
 #: Rows of an id table that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -336,6 +337,19 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
     return pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), "a long, b long")
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose labels u and v differ."""
+    label = lambda s, name: known.select(F.col("sid").alias(s), F.col("label").alias(name))
+    return pairs.join(label("a", "u"), "a").join(label("b", "v"), "b").where("u <> v")
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known (sid, doc_id, label) with one label for all that links (a, b) connect."""
+    found = components(_apart(links, known).select("u", "v"))
+    new = known.join(found.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left")
+    return written(new.select("sid", "doc_id", F.coalesce("_new", "label").alias("label")), "known")
+
+
 def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -354,15 +368,18 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = sets.where("kind = 0").select("doc_id", "n_shingles", "sid")
     # A set stands in the row of its least doc_id; equal sets have equal bitmaps and leaders.
     nodes = written(sets.where("kind = 0 and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("leaders").alias("leaders")), "nodes")
-    # 1. Leaders.
+    # 1. Leaders: of each group the least node, and the least by other orders.
     keyed = nodes.select("sid", F.posexplode("leaders").alias("which", "key"))
-    least = keyed.groupBy("which", "key").agg(F.min("sid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(least, ["which", "key"]).where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    pairs = written(_near(nodes, pairs, percent), "pairs")
-    first = written(components(_links(docs, nodes, pairs, words, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    chosen = [F.min_by("sid", F.xxhash64(F.lit(r), "sid")).alias(f"a{r}") for r in range(ROUNDS)]
+    groups = keyed.groupBy("which", "key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    led = written(keyed.join(groups, ["which", "key"]).select("sid", *[f"a{r}" for r in range(ROUNDS)]).distinct(), "led")
+    known = written(nodes.select("sid", "doc_id", F.col("sid").alias("label")), "known")
+    for r in range(ROUNDS):
+        pairs = _apart(led.select(F.col(f"a{r}").alias("a"), F.col("sid").alias("b")).where("a <> b").distinct(), known).select("a", "b")
+        near = written(_near(nodes, pairs, percent), "pairs")
+        if not near.isEmpty():
+            known = _joined(known, _links(docs, nodes, near, words, percent))
     # 2. Tiles.
-    known = nodes.select("sid", "doc_id").join(first.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    known = written(known, "known")
     # Every set is asked for here: a broadcast where the table is small, else a join on doc_id.
     stand = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     texts = docs.alias("d").join(stand.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.text", "k.sid", "k.label")
@@ -370,10 +387,8 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # 3 and 4.
     met = blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary").join(nodes.select("sid", "bits"), "sid")
     candidates = written(met.groupBy("shard").applyInArrow(_tiles(percent), "a long, b long").distinct(), "candidates")
-    more = _links(docs, nodes, candidates, words, percent)
-    label = lambda s: known.select(F.col("sid").alias(s), F.col("label").alias(f"label_{s}"))
-    second = components(more.join(label("a"), "a").join(label("b"), "b").select(F.col("label_a").alias("u"), F.col("label_b").alias("v")))
-    final = known.select("sid", "doc_id", "label").join(second.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("root", F.coalesce("root", "label"))
+    final = known if candidates.isEmpty() else _joined(known, _links(docs, nodes, candidates, words, percent))
+    final = final.withColumnRenamed("label", "root")
     final = final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
     return rows.join(final, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
