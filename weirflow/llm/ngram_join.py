@@ -8,7 +8,8 @@ the threshold, but for those that verified links already connect:
    family of near copies, also where half of its pairs are not similar enough.
 2. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
    first. Prefix shingles are dealt to shards; a tile is the nodes of one prefix shingle, in bands of size by a window over sorted sizes.
-   Nodes that have a partner of like size in a tile, not connected yet, are given their bitmap and meet in the tile's shard again.
+   Nodes that have a partner of like size in a tile, not connected yet, are given their bitmap and meet in the tile's shard again,
+   once to try one pair for each two components, and once for all pairs that are still between components.
 3. Bitmaps. Each node has a bitmap of at least two bits a shingle, in which every shingle toggles one bit. The bits in which two
    bitmaps differ are at most the symmetric difference, so that their count bounds the overlap from above. Pairs are only formed in a
    tile's task, and leave it only if sizes, places in the prefixes and bitmaps all allow the similarity.
@@ -30,7 +31,7 @@ from weirflow.llm.linkage import components
 
 #: Buckets in which tasks count shingles, and the frequent ones that a task reports and that are kept.
 BUCKETS, REPORT, FREQUENT = 1 << 20, 2_048, 65_536
-LEADERS, ROUNDS = 6, 4
+LEADERS, ROUNDS = 6, 3
 WORD_CACHE = 200_000
 #: Rows of an id table that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -255,20 +256,36 @@ def tile_pairs(entries: np.ndarray, node: np.ndarray, bitmaps: Bitmaps, percent:
                 yield np.stack([a[fine], b[fine]], axis=1)
 
 
-def _tiles(percent: int):
+def _tiles(percent: int, sparse: bool):
+    """Pairs of a shard's nodes (sid, label, bits, blob) that tiles leave; sparse: one for each pair of labels, another in each shard."""
+
+    def thinned(pairs: np.ndarray, shard: int) -> np.ndarray:
+        pairs = np.unique(pairs, axis=0)
+        if not sparse or not len(pairs):
+            return pairs
+        order = np.argsort(mix(pairs[:, 0].astype(np.uint64) * _ODD ^ pairs[:, 1].astype(np.uint64) ^ np.uint64(shard)))
+        pairs = pairs[order]
+        _, first = np.unique(np.sort(pairs[:, 2:], axis=1), axis=0, return_index=True)
+        return pairs[first]
+
     def run(group: pa.Table) -> pa.Table:
+        shard = group.column("shard")[0].as_py()
         parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]
         entries, node = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        entries["label"] = group.column("label").to_numpy()[node]
         order = np.lexsort((entries["sid"], entries["size"], entries["shingle"]))
         entries, node = entries[order], node[order]
-        held, found = 0, [np.zeros((0, 2), np.int64)]
+        held, found = 0, [np.zeros((0, 4), np.int64)]
         for rows in tile_pairs(entries, node, Bitmaps(group.column("bits").to_pylist()), percent):
-            found.append(np.sort(entries["sid"][rows], axis=1))
+            sid, label = entries["sid"][rows], entries["label"][rows]
+            turn = sid[:, 0] > sid[:, 1]
+            sid[turn], label[turn] = sid[turn][:, ::-1], label[turn][:, ::-1]
+            found.append(np.concatenate([sid, label], axis=1))
             held += len(rows)
             if held > 1 << 20:
-                found = [np.unique(np.concatenate(found), axis=0)]
+                found = [thinned(np.concatenate(found), shard)]
                 held = len(found[0]) // 2
-        pairs = np.unique(np.concatenate(found), axis=0)
+        pairs = thinned(np.concatenate(found), shard)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -384,10 +401,14 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     stand = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     texts = docs.alias("d").join(stand.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.text", "k.sid", "k.label")
     blobs = texts.mapInArrow(_prefixes(words, percent, shard_count(spark), frequent), "shard long, blob binary")
-    # 3 and 4.
-    met = blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary").join(nodes.select("sid", "bits"), "sid")
-    candidates = written(met.groupBy("shard").applyInArrow(_tiles(percent), "a long, b long").distinct(), "candidates")
-    final = known if candidates.isEmpty() else _joined(known, _links(docs, nodes, candidates, words, percent))
+    partners = written(blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary"), "partners")
+    # 3 and 4, twice: first one pair for each two labels in a shard, which connects nearly all that can be; then all pairs that are left.
+    for sparse in (True, False):
+        met = partners.join(nodes.select("sid", "bits"), "sid").join(known.select("sid", "label"), "sid")
+        pairs = written(met.groupBy("shard").applyInArrow(_tiles(percent, sparse), "a long, b long").distinct(), "candidates")
+        if not pairs.isEmpty():
+            known = _joined(known, _links(docs, nodes, pairs, words, percent))
+    final = known
     final = final.withColumnRenamed("label", "root")
     final = final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
     return rows.join(final, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
