@@ -233,6 +233,17 @@ def test_toxicity_on_held_out_rows(corpus, odd, empty, labels):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_lexicon_folds_copies_only(spark):
+    """Different texts that share a frequent word are all learned from; copies in other case or spacing count once."""
+    words = ["quorl", "zimbed", "vantic", "ploster"]
+    rows = [(i, f"the {words[i % 4]} a{i} b{i} c{i}", 1) for i in range(80)] + [(100 + i, f"the d{i} e{i} f{i}", 0) for i in range(80)]
+    rows += [(200 + i, "The  only\ncopied text" if i % 2 else "the only copied TEXT ", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {f" {w} " for w in words} <= set(lexicon.weights)
+    assert " copied " not in lexicon.weights and " the " not in lexicon.weights
+
+
 def test_lexicon_sees_through_disguises_and_spares_exceptions():
     lexicon = toxicity.Lexicon({" stupid ": 3.0, " lowei": 2.0}, [" not stupid "], (-3.0, 4.0, 0.0, 0.0))
     hits = lambda t: lexicon.features(t)[0]

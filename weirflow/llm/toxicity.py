@@ -129,19 +129,22 @@ def _count(wanted: frozenset[str] | None):
     return run
 
 
-def _first_hash(text_column: str):
-    """A minimum over hashes of words, the same for most near copies, so that a family of copies is no evidence by its size."""
-    return F.array_min(F.transform(F.split(F.lower(text_column), "\\s+"), lambda w: F.xxhash64(w)))
+def _words_digest(text_column: str):
+    """A digest of a text's lower-case words in their order: copies that differ in case or white space agree, other texts do not."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(text_column), "\\s+", " ")), 256)
 
 
 def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from labelled rows: labels has doc_id and toxic (0 or 1), at most sample of them are used, by a hash of doc_id."""
+    """A lexicon from labelled rows: labels has doc_id and toxic (0 or 1), at most sample of them are used, by a hash of doc_id.
+
+    Copies with one label count once, so that a family of copies is no evidence by its size; the row of the least doc_id stands for them.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most sample rows by construction.
-    rows = docs.join(F.broadcast(known), "doc_id").withColumn("first", _first_hash("text"))
-    rows = rows.dropDuplicates(["first", "toxic"]).select("text", "toxic").repartition(8).persist()
+    rows = docs.join(F.broadcast(known), "doc_id").groupBy(_words_digest("text"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("least"))
+    rows = rows.select("least.text", "toxic").repartition(8).persist()
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     least = max(4, bad // 200)
