@@ -101,6 +101,21 @@ def test_links_odd(odd, empty):
     assert ngram_join.one_of_each(odd).columns == odd.columns
 
 
+def test_one_row_of_each_component_stays_under_null_and_repeated_ids(spark):
+    copied = " ".join(f"w{k}" for k in range(60))
+    alone = lambda name: " ".join(f"{name}{k}" for k in range(12))
+    family = " ".join(f"n{k}" for k in range(60))
+    rows = [(1, copied, "s"), (None, copied + " end", "s"), (None, alone("x"), "s"), (None, alone("y"), "s")]
+    rows += [(5, copied + " tail", "s"), (5, alone("z"), "s"), (None, family, "s"), (None, family + " more", "s")]
+    rows += [(8, alone("q"), "a"), (8, alone("q"), "b"), (8, alone("q"), "b"), (9, "", "s"), (9, "", "s"), (None, None, "s"), (None, None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in ngram_join.one_of_each(df.repartition(4)).collect()]
+    families = [r for r in got if r[1] and r[1].startswith("n0 ")]
+    assert len(families) == 1 and families[0][0] is None
+    want = [(1, copied, "s"), (None, alone("x"), "s"), (None, alone("y"), "s"), (5, alone("z"), "s"), (8, alone("q"), "a"), (9, "", "s"), (9, "", "s"), (None, None, "s"), (None, None, "s")]
+    assert sorted(map(str, got)) == sorted(map(str, want + families))
+
+
 def test_bitmaps_bound_overlaps():
     import numpy as np
 

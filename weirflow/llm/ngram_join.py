@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import shard_count, text_blocks, written
@@ -95,8 +95,8 @@ def similar(overlap: int, size_a: int, size_b: int, percent: int) -> bool:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
-        names = ["kind", "doc_id", "n_shingles", "sid", "bits", "leaders", "bucket", "count"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        names = ["kind", "doc_id", "row", "n_shingles", "sid", "bits", "leaders", "bucket", "count"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         for batch in text_blocks(batches):
             ids, sizes, sids, bits, leaders = batch.column("doc_id").to_pylist(), [], [], [], []
             seen = []
@@ -113,11 +113,11 @@ def _sets(n: int):
             if seen:
                 counts += np.bincount((np.concatenate(seen) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * len(ids), ids, sizes, sids, bits, leaders, none, none), kinds)], names)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(([0] * len(ids), ids, batch.column("row"), sizes, sids, bits, leaders, none, none), kinds)], names)
         top = np.argsort(counts)[-REPORT:]
         top = top[counts[top] > 8 * counts.mean() + 16]
         none = [None] * len(top)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([1] * len(top), none, none, none, none, none, top, counts[top]), kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([1] * len(top), none, none, none, none, none, none, top, counts[top]), kinds)], names)
 
     return run
 
@@ -138,7 +138,7 @@ def _prefixes(n: int, percent: int, shards: int, frequent):
             for text, sid, label in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist(), batch.column("label").to_pylist()):
                 values = shingle_set(text or "", n, hashes)
                 if np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64) != sid:
-                    continue  # another row with this doc_id
+                    continue  # another row with this key
                 size = len(values)
                 first = size + (-percent * size) // 100 + 1
                 rank = level[(values >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)]
@@ -344,11 +344,11 @@ def _near(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of a written table that are similar, by exact intersection."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(nodes.select("sid", "doc_id"), "sid")
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(nodes.select("sid", "row"), "sid")
     wanted = written(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.sid")
+    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.row") == F.col("w.row")).select("d.text", "w.sid")
     arrays = written(texts.mapInArrow(_arrays(n), "sid long, data binary").dropDuplicates(["sid"]), "arrays")
     half = lambda s: arrays.select(F.col("sid").alias(s), F.col("data").alias(f"data_{s}"))
     return pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), "a long, b long")
@@ -361,10 +361,15 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
-    """known (sid, doc_id, label) with one label for all that links (a, b) connect."""
+    """known (sid, doc_id, row, label) with one label for all that links (a, b) connect."""
     found = components(_apart(links, known).select("u", "v"))
     new = known.join(found.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left")
-    return written(new.select("sid", "doc_id", F.coalesce("_new", "label").alias("label")), "known")
+    return written(new.select("sid", "doc_id", "row", F.coalesce("_new", "label").alias("label")), "known")
+
+
+def row_key() -> Column:
+    """A 64-bit key of a row with doc_id and text: rows share it only if they agree in doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text").cast("string"))
 
 
 def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -376,30 +381,36 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     A null or empty text has no shingles and links with nothing. A null doc_id takes part, but is smallest only where all are
     null; rows that repeat are linked like other equal texts. An empty table gives an empty result.
     """
+    return _linked(documents, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """linked() with the key of each row and that of the row that stands for its component (its own where it has no shingles)."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "kind int, doc_id long, n_shingles long, sid long, bits binary, leaders array<long>, bucket long, count long"
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
+    schema = "kind int, doc_id long, row long, n_shingles long, sid long, bits binary, leaders array<long>, bucket long, count long"
     sets = written(docs.mapInArrow(_sets(words), schema), "sets")
     top = sets.where("kind = 1").groupBy("bucket").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "bucket").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.array([(r.bucket, r.n) for r in top.collect()], np.int64).reshape(-1, 2))
-    rows = sets.where("kind = 0").select("doc_id", "n_shingles", "sid")
-    # A set stands in the row of its least doc_id; equal sets have equal bitmaps and leaders.
-    nodes = written(sets.where("kind = 0 and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("leaders").alias("leaders")), "nodes")
+    rows = sets.where("kind = 0").select("doc_id", "row", "n_shingles", "sid")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
+    # A set stands in the row of its least doc_id, of least key where several rows have that; null is last. Equal sets have equal bitmaps and leaders.
+    nodes = written(sets.where("kind = 0 and sid is not null").groupBy("sid").agg(least, F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("leaders").alias("leaders")).select("sid", "least.doc_id", "least.row", "n_shingles", "bits", "leaders"), "nodes")
     # 1. Leaders: of each group the least node, and the least by other orders.
     keyed = nodes.select("sid", F.posexplode("leaders").alias("which", "key"))
     chosen = [F.min_by("sid", F.xxhash64(F.lit(r), "sid")).alias(f"a{r}") for r in range(ROUNDS)]
     groups = keyed.groupBy("which", "key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     led = written(keyed.join(groups, ["which", "key"]).select("sid", *[f"a{r}" for r in range(ROUNDS)]).distinct(), "led")
-    known = written(nodes.select("sid", "doc_id", F.col("sid").alias("label")), "known")
+    known = written(nodes.select("sid", "doc_id", "row", F.col("sid").alias("label")), "known")
     for r in range(ROUNDS):
         pairs = _apart(led.select(F.col(f"a{r}").alias("a"), F.col("sid").alias("b")).where("a <> b").distinct(), known).select("a", "b")
         near = written(_near(nodes, pairs, percent), "pairs")
         if not near.isEmpty():
             known = _joined(known, _links(docs, nodes, near, words, percent))
     # 2. Tiles.
-    # Every set is asked for here: a broadcast where the table is small, else a join on doc_id.
+    # Every set is asked for here: a broadcast where the table is small, else a join on the row's key.
     stand = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    texts = docs.alias("d").join(stand.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.text", "k.sid", "k.label")
+    texts = docs.alias("d").join(stand.alias("k"), F.col("d.row") == F.col("k.row")).select("d.text", "k.sid", "k.label")
     blobs = texts.mapInArrow(_prefixes(words, percent, shard_count(spark), frequent), "shard long, blob binary")
     partners = written(blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary"), "partners")
     # 3 and 4, twice: first one pair for each two labels in a shard, which connects nearly all that can be; then all pairs that are left.
@@ -410,12 +421,24 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             known = _joined(known, _links(docs, nodes, pairs, words, percent))
     final = known
     final = final.withColumnRenamed("label", "root")
-    final = final.join(final.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "component_id")
-    return rows.join(final, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = final.join(final.groupBy("root").agg(least), "root").select("sid", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stand"))
+    own = lambda mine, name: F.when(F.col("sid").isNull(), F.col(mine)).otherwise(F.col(name)).alias(name)
+    return rows.join(final, "sid", "left").select("doc_id", "row", "sid", "n_shingles", own("doc_id", "component_id"), own("row", "stand"))
 
 
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents whose doc_id is the smallest of their component, all their columns; rows that share a doc_id are one document."""
-    found = linked(documents, words, percent).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_doc")).distinct()
-    gone = written(found, "gone")
-    return documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_anti")
+    """One row of documents for each component, all its columns, and all rows without shingles.
+
+    The row with the component's smallest doc_id stays (null last; of several the one with the least key of doc_id and text). Rows
+    are told apart by that key, so that other texts under the same or a null doc_id stay. Of rows that agree in doc_id and text the
+    least by all columns stays.
+    """
+    found = _linked(documents, words, percent).where("sid is not null").groupBy("row").agg(F.min("stand").alias("stand"), F.count(F.lit(1)).alias("n"))
+    gone = written(found.where("row <> stand or n > 1").select(F.col("row").alias("_row"), (F.col("row") == F.col("stand")).alias("_stands")), "gone")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    out = documents.join(small(gone), row_key() == F.col("_row"), "left_anti")
+    repeated = gone.where("_stands")
+    if repeated.isEmpty():
+        return out
+    once = documents.join(small(repeated), row_key() == F.col("_row"), "left_semi").groupBy(row_key()).agg(F.min(F.struct(*documents.columns)).alias("_least"))
+    return out.unionByName(once.select("_least.*"))
