@@ -262,6 +262,18 @@ def test_quality_on_held_out_rows(corpus, odd, empty, labels):
     assert all(0 <= r.score <= 1 for r in quality_classifier.quality(odd, labels).collect())
 
 
+def test_a_repeated_labelled_id_counts_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "Discriminant", lambda x, y: seen.update(rows=len(y)))
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: seen.update(points=len(y)) or np.zeros(4))
+    rows = [(i, f"text number {i} of some kind", int(i % 2)) for i in range(20)]
+    marks = spark.createDataFrame(rows, "doc_id long, text string, mark int").selectExpr("doc_id", "mark as quality", "mark as toxic")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, f"other text {i}") for i in range(50)], "doc_id long, text string")
+    quality_classifier.learn(docs, marks)
+    toxicity.learn(docs, marks)
+    assert seen == {"rows": 20, "points": 20}
+
+
 def test_labels_of_the_fold_are_not_learned(corpus):
     """Turning the labels of the held-out fold around changes no score."""
     from pyspark.sql import functions as F

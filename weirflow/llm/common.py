@@ -56,6 +56,12 @@ def null_safe_keys(left: str, right: str, *names: str):
     return condition
 
 
+def one_text_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and text, one row for each value of keys: of several texts the one with the least hash, so that a repeated id counts once."""
+    least = F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("least")
+    return rows.groupBy(*keys).agg(least).select(*keys, "least.text")
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches whose texts (column "text") have about limit bytes, however long the Arrow batches are."""
     for batch in batches:

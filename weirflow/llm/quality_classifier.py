@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import text_blocks
+from weirflow.llm.common import one_text_each, text_blocks
 from weirflow.llm.toxicity import fit_logistic
 
 #: Labelled rows that the model is fitted on, at most.
@@ -135,9 +135,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Disc
             values = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([pa.array(values[:, k]) for k in range(len(FEATURES))] + [batch.column("quality")], [*FEATURES, "quality"])
 
-    # At most sample rows by construction, of fixed width.
+    # At most sample rows, one for each doc_id, of fixed width.
     schema = ", ".join(f"{f} double" for f in FEATURES) + ", quality int"
-    points = docs.join(F.broadcast(known), "doc_id").select("text", "quality").mapInArrow(measure, schema).toPandas()
+    points = one_text_each(docs.join(F.broadcast(known), "doc_id"), "doc_id", "quality").select("text", "quality").mapInArrow(measure, schema).toPandas()
     y = points["quality"].to_numpy(int) if len(points) else np.zeros(0, int)
     if min((y == 0).sum(), (y == 1).sum()) < 3:
         return Constant(float((y.sum() + 1) / (len(y) + 2)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import text_blocks
+from weirflow.llm.common import one_text_each, text_blocks
 
 #: Letters of other scripts that look like Latin ones, and substitutions in disguised words.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝαεικνορτυχ", "abekmhopctyxijsdqwaeikvoptux")
@@ -142,8 +142,8 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # At most sample rows by construction.
-    rows = docs.join(F.broadcast(known), "doc_id").groupBy(_words_digest("text"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("least"))
+    # At most sample rows, one for each doc_id.
+    rows = one_text_each(docs.join(F.broadcast(known), "doc_id"), "doc_id", "toxic").groupBy(_words_digest("text"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("least"))
     rows = rows.select("least.text", "toxic").repartition(8).persist()
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
