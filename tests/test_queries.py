@@ -50,3 +50,9 @@ def test_entry_without_the_corpus_modules(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert done.stdout.split() == [str(len(plans.queries())), "False"], done.stderr
+
+
+def test_training_table_has_every_flow(spark):
+    folder = "/root/testdata/sf0.001"
+    flows = plans.flow_rows(spark, folder).select("flow_id").distinct()
+    assert plans.training_table(spark, folder).count() == flows.count()

@@ -222,21 +222,25 @@ def all_flow_features(spark, sf_dir):
     return features.features(flow_rows(spark, sf_dir)).select("seq", *features.NAMES)
 
 
-def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of every third event's flow, the multiples of 15 labelled twice."""
-    e = event_rows(spark, sf_dir).where("seq % 3 = 0")
+def label_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """Labels of the flows of all events (or of those which chooses), the multiples of 15 labelled twice."""
+    e = event_rows(spark, sf_dir).where(which)
     first = e.select(F.concat(F.lit("f"), F.col("seq").cast("string")).alias("identity_key"), (F.col("event_type") == "error").cast("int").alias("binary_label"), F.col("event_type").alias("attack_subclass"), "seq")
     again = e.where("seq % 15 = 0").select(F.concat(F.lit("f"), F.col("seq").cast("string")).alias("identity_key"), F.lit(1).alias("binary_label"), F.lit("again").alias("attack_subclass"), (F.col("seq") + 10_000_000_000).alias("seq"))
     return first.unionByName(again)
 
 
+#: Where keys without a label are what a query is about, only every third event has one.
+PARTLY = "seq % 3 = 0"
+
+
 @query(f"""
 WITH {E_SQL}
 SELECT seq, CAST(CASE WHEN seq % 15 = 0 THEN 1 ELSE CAST(event_type = 'error' AS INT) END AS BIGINT) AS binary_label, CASE WHEN seq % 15 = 0 THEN 'again' ELSE event_type END AS attack_subclass FROM e WHERE seq % 3 = 0
 """)
 def label_join(spark, sf_dir):
     """Flows with the last label of their key."""
-    out = joins.labelled(flow_rows(spark, sf_dir).withColumnRenamed("seq", "flow_seq"), label_rows(spark, sf_dir))
+    out = joins.labelled(flow_rows(spark, sf_dir).withColumnRenamed("seq", "flow_seq"), label_rows(spark, sf_dir, PARTLY))
     return out.select(F.col("flow_seq").alias("seq"), F.col("binary_label").cast("long").alias("binary_label"), "attack_subclass")
 
 
@@ -252,14 +256,14 @@ SELECT count(*) FILTER (WHERE k.seq >= 0) AS matched, count(*) AS label_keys, ro
 """)
 def label_coverage(spark, sf_dir):
     other = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("identity_key"))
-    return rounded(joins.coverage(flow_rows(spark, sf_dir), label_rows(spark, sf_dir).select("identity_key").unionByName(other)), "ratio")
+    return rounded(joins.coverage(flow_rows(spark, sf_dir), label_rows(spark, sf_dir, PARTLY).select("identity_key").unionByName(other)), "ratio")
 
 
 @query("""
 SELECT identity_key FROM (SELECT DISTINCT 'f' || event_id AS identity_key FROM events WHERE event_id % 3 <> 0) ORDER BY identity_key LIMIT 100
 """)
 def unmatched_keys(spark, sf_dir):
-    return joins.unmatched(flow_rows(spark, sf_dir), label_rows(spark, sf_dir))
+    return joins.unmatched(flow_rows(spark, sf_dir), label_rows(spark, sf_dir, PARTLY))
 
 
 @query("""
