@@ -43,11 +43,55 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Scratch tables of one computation, which are deleted when it ends: what it returns must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            deleted(self.spark, path)
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        """written(), with the table's path kept for deletion."""
+        path = f"{scratch_dir(self.spark)}/weirflow-{label}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def replaced(self, df: DataFrame, label: str, keep: int = 1) -> DataFrame:
+        """written(), after which the tables of this label but for the last keep are deleted."""
+        out = self.written(df, label)
+        mine = [p for p in self.paths if f"/weirflow-{label}-" in p]
+        for path in mine[:-keep]:
+            deleted(self.spark, path)
+            self.paths.remove(path)
+        return out
+
+
 def shard_count(spark: SparkSession, per_partition: int = 4) -> int:
     """How many shards blobs are dealt to: a multiple of the session's shuffle partitions, which the user sizes to the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * per_partition)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def null_safe_keys(left: str, right: str, *names: str):
     """A null-safe equality over several columns of two aliased frames."""
     condition = F.lit(True)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import written
+from weirflow.llm.common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label of every node in edges (columns u, v, long): label is the smallest node that links reach.
 
     Each round joins every node's larger neighbours, then its smaller ones, to the least neighbour; both take aggregates
-    of a node's neighbours and a join, never a list of them. Rounds end when the table of edges no longer changes.
+    of a node's neighbours and a join, never a list of them. Rounds end when the table of edges no longer changes. Only the
+    last table of edges, which the result reads, is left in scratch.
     """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now = scratch.replaced(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -26,4 +27,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = scratch.replaced(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -3,21 +3,25 @@
 Documents are sets of 64-bit shingle hashes; equal sets are one node. The join finds all pairs of nodes whose similarity reaches
 the threshold, but for those that verified links already connect:
 
-1. Leaders. Nodes that share a minimum of a few hash functions are compared with one node among them, in a few rounds with another such leader
-   each, as far as they are not connected yet. That takes a number of pairs linear in the nodes and connects nearly all of a
-   family of near copies, also where half of its pairs are not similar enough.
-2. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
-   first. Prefix shingles are dealt to shards; a tile is the nodes of one prefix shingle, in bands of size by a window over sorted sizes.
-   Nodes that have a partner of like size in a tile, not connected yet, are given their bitmap and meet in the tile's shard again,
-   once to try one pair for each two components, and once for all pairs that are still between components.
-3. Bitmaps. Each node has a bitmap of at least two bits a shingle, in which every shingle toggles one bit. The bits in which two
-   bitmaps differ are at most the symmetric difference, so that their count bounds the overlap from above. Pairs are only formed in a
-   tile's task, and leave it only if sizes, places in the prefixes and bitmaps all allow the similarity.
+1. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
+   first. Prefix shingles are dealt to shards, frequent ones in bands of size; a tile is the nodes of one prefix shingle in the order of
+   their sizes. Only nodes with a partner in a tile, by sizes and places, go on, each with its tiles.
+2. Leaders. Of the nodes that go on, those that share a minimum of a hash function pass in the order of their sizes, and each is paired
+   with one of the last few that came before it and are like none before them. That is at most one pair for each node and function,
+   and connects nearly all of a family of near copies.
+3. Bitmaps. A node's bitmap has at least two bits a shingle, in which every shingle toggles one bit. The bits in which two
+   bitmaps differ are at most the symmetric difference, so that their count bounds the overlap from above. The nodes of a tile
+   that have different labels (of components so far) meet in a task, large tiles in pairs of blocks; pairs that sizes, places and bitmaps allow
+   are candidates.
 4. What is left is intersected exactly, as sorted arrays.
+
+In the first passes over the tiles a task gives a spanning forest of its candidates, the most similar first: fewer pairs than it has
+nodes, whatever a family's size. Nodes with pairs that were held back meet again under their new labels; the last pass gives every pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import shard_count, text_blocks, written
+from weirflow.llm.common import Scratch, fresh, shard_count, text_blocks, written
 from weirflow.llm.linkage import components
 
 #: Buckets in which tasks count shingles, and the frequent ones that a task reports and that are kept.
 BUCKETS, REPORT, FREQUENT = 1 << 20, 2_048, 65_536
-LEADERS, ROUNDS = 6, 3
-WORD_CACHE = 200_000
+#: Hash functions whose minima are compared, and nodes that others of a minimum are compared with.
+LEADERS, HELD = 4, 8
+#: Nodes for which the rows of one minimum are dealt to one more task.
+SALT = 4_000_000
+WORD_CACHE = 100_000
+#: Sets that a task remembers, so that copies of one give their prefix once.
+SEEN = 500_000
 #: Rows of an id table that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of prefix entries in a shard, and nodes of a tile that meet in one task.
+SHARD_BYTES, BLOCK = 4 << 20, 8_192
+#: Passes over the tiles: all but the last give forests.
+PASSES = 3
+#: Places that an entry looks ahead for its partners before all in reach are taken to be some.
+LOOK = 64
+#: Pairs that a task holds before it thins them out.
+HOLD = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = [np.uint64(0xA24BAED4963EE407 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(LEADERS + 2)]
@@ -70,6 +87,12 @@ def shingle_set(text: str, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
+def set_id(values: np.ndarray) -> int:
+    """A 64-bit digest of a set."""
+    digest = xxhash.xxh3_64_intdigest(values.tobytes())
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 def bitmap(values: np.ndarray) -> np.ndarray:
     """Words of a bitmap of at least two bits a value, at most 2 ** 16 bits; each value toggles one bit."""
     bits = 64
@@ -88,73 +111,92 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> int
     return (size_a + size_b - int(np.bitwise_count(a ^ b).sum())) // 2
 
 
+def brief(bits: np.ndarray) -> np.ndarray:
+    """A bitmap folded to a quarter, but not below 512 bits."""
+    for _ in range(2):
+        if len(bits) > 8:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def similar(overlap: int, size_a: int, size_b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (size_a + size_b - overlap)
 
 
+_SETS = "kind int, doc_id long, row long, n_shingles long, sid long, bucket long, count long"
+
+
 def _sets(n: int):
+    """A row for each document (kind 0), and a task's frequent buckets (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
-        names = ["kind", "doc_id", "row", "n_shingles", "sid", "bits", "leaders", "bucket", "count"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+        names = ["kind", "doc_id", "row", "n_shingles", "sid", "bucket", "count"]
+        kinds = [pa.int32()] + [pa.int64()] * 6
         for batch in text_blocks(batches):
-            ids, sizes, sids, bits, leaders = batch.column("doc_id").to_pylist(), [], [], [], []
-            seen = []
-            for text in batch.column("text").to_pylist():
-                values = shingle_set(text or "", n, hashes)
-                sizes.append(len(values))
-                if not len(values):
-                    sids.append(None), bits.append(None), leaders.append(None)
-                    continue
-                seen.append(values)
-                sids.append(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64).item())
-                bits.append(bitmap(values).tobytes())
-                leaders.append([int(mix(values ^ s).min().astype(np.int64)) for s in _SEEDS[:LEADERS]])
+            sets = [shingle_set(text or "", n, hashes) for text in batch.column("text").to_pylist()]
+            seen = [v for v in sets if len(v)]
             if seen:
                 counts += np.bincount((np.concatenate(seen) >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
-            none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(([0] * len(ids), ids, batch.column("row"), sizes, sids, bits, leaders, none, none), kinds)], names)
+            none = pa.nulls(len(sets), pa.int64())
+            columns = ([0] * len(sets), batch.column("doc_id"), batch.column("row"), [len(v) for v in sets], [set_id(v) if len(v) else None for v in sets], none, none)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
         top = np.argsort(counts)[-REPORT:]
         top = top[counts[top] > 8 * counts.mean() + 16]
-        none = [None] * len(top)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([1] * len(top), none, none, none, none, none, none, top, counts[top]), kinds)], names)
+        none = pa.nulls(len(top), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(top), pa.int32()), none, none, none, none, pa.array(top), pa.array(counts[top])], names)
 
     return run
 
 
-_ENTRY = np.dtype([("shingle", "<u4"), ("size", "<u4"), ("place", "<u4"), ("sid", "<i8"), ("label", "<i8")])
+#: A node in a tile: the tile, the set's size, the shingle's place in its order, the side of a pair of blocks (0: any), the set.
+_ENTRY = np.dtype([("tile", "<u4"), ("size", "<u4"), ("place", "<u4"), ("side", "u1"), ("sid", "<i8")])
+
+
+def prefix_length(size: int, percent: int) -> int:
+    return size + (-percent * size) // 100 + 1
+
+
+def size_band(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of sizes, a little wider than similar sets can differ: those are in the same one or in neighbours."""
+    return np.floor(np.log(sizes) / (-1.001 * math.log(min(0.99, percent / 100)))).astype(np.int64)
 
 
 def _prefixes(n: int, percent: int, shards: int, frequent):
-    """Blobs of prefix entries by shard, for documents that stand for their set (columns doc_id, text, sid, label)."""
+    """Blobs of prefix entries by shard. Copies of a set in a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        level = np.zeros(BUCKETS, np.uint8)
+        hashes, level, known = WordHashes(), np.zeros(BUCKETS, np.uint8), set()
         if len(frequent.value):
             level[frequent.value[:, 0]] = np.minimum(255, 4 * np.log2(frequent.value[:, 1] + 1)).astype(np.uint8)
-        for batch in text_blocks(batches, 8 << 20):
-            shingles, sizes, sids, labels, lengths = [], [], [], [], []
-            for text, sid, label in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist(), batch.column("label").to_pylist()):
+        for batch in text_blocks(batches):
+            shingles, sizes, sids, common = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 values = shingle_set(text or "", n, hashes)
-                if np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64) != sid:
-                    continue  # another row with this key
-                size = len(values)
-                first = size + (-percent * size) // 100 + 1
+                sid = set_id(values) if len(values) else None
+                if sid is None or sid in known:
+                    continue
+                if len(known) < SEEN:
+                    known.add(sid)
                 rank = level[(values >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1)]
-                order = np.lexsort((mix(values), rank))[:first]
-                shingles.append(values[order])
-                sizes.append(size), sids.append(sid), labels.append(label), lengths.append(first)
+                order = np.lexsort((mix(values), rank))[: prefix_length(len(values), percent)]
+                shingles.append(values[order]), common.append(rank[order] > 0), sizes.append(len(values)), sids.append(sid)
             if not shingles:
                 continue
-            spread = mix(np.concatenate(shingles))
-            shard = ((spread >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            entries = np.empty(len(spread), _ENTRY)
-            entries["shingle"] = (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            for name, column in (("size", sizes), ("sid", sids), ("label", labels)):
-                entries[name] = np.repeat(np.array(column), lengths)
-            lengths = np.array(lengths)
+            lengths = np.array([len(s) for s in shingles])
+            spread, common = mix(np.concatenate(shingles)), np.concatenate(common)
+            entries = np.zeros(len(spread), _ENTRY)
+            entries["size"], entries["sid"] = np.repeat(np.array(sizes), lengths), np.repeat(np.array(sids), lengths)
             entries["place"] = np.arange(len(spread)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            # The nodes of a frequent shingle are dealt by their band of sizes, and meet those of the next band there.
+            band = size_band(entries["size"][common].astype(float), percent).astype(np.uint64)
+            again = entries[common]
+            twice = mix(spread[common] + band + np.uint64(1))
+            spread_of = np.concatenate([spread, mix(spread[common] + band + np.uint64(2))])
+            spread_of[: len(spread)][common] = twice
+            entries = np.concatenate([entries, again])
+            entries["tile"] = (spread_of & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            shard = ((spread_of >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             parts = np.split(entries[order], cuts)
@@ -163,44 +205,157 @@ def _prefixes(n: int, percent: int, shards: int, frequent):
     return run
 
 
-def _sorted(entries: np.ndarray) -> np.ndarray:
-    return entries[np.lexsort((entries["sid"], entries["size"], entries["shingle"]))]
+def in_order(entries: np.ndarray) -> np.ndarray:
+    """The order by tile, size and set."""
+    return np.lexsort((entries["sid"], entries["size"], entries["tile"]))
+
+
+def _near(tile: np.ndarray, size: np.ndarray, at: np.ndarray, to: np.ndarray, percent: int) -> np.ndarray:
+    return (tile[at] == tile[to]) & (100 * size[at] >= percent * size[to])
+
+
+def _allowed(entries: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of entries of one tile can be similar by their places (what precedes a place is not in the overlap), and are asked for."""
+    size, place, side = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["side"]
+    rest = np.minimum(size[a] - place[a], size[b] - place[b])
+    fine = (label[a] != label[b]) & (100 * rest >= percent * (size[a] + size[b] - rest))
+    return fine & ((side[a] == 0) | (side[a] != side[b]))
 
 
-def with_partner(entries: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sorted entries may have a partner: another node of like size in a tile with more than one label, places allowing."""
-    n = len(entries)
-    if not n:
-        return np.zeros(0, bool)
-    tile, size, label = entries["shingle"], entries["size"].astype(np.int64), entries["label"]
-    heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-    lengths = np.diff(np.r_[heads, n])
-    mixed = np.repeat(np.minimum.reduceat(label, heads) != np.maximum.reduceat(label, heads), lengths)
-    same = np.r_[tile[1:] == tile[:-1], False]
-    near = same & np.r_[100 * size[:-1] >= percent * size[1:], False]
-    paired = mixed & (near | np.r_[False, near[:-1]])
-    # The smallest size that goes with an entry's asks for the least overlap; what precedes its place in the prefix cannot be in it.
-    key = tile.astype(np.uint64) << np.uint64(32)
-    low = np.searchsorted(key | size.astype(np.uint64), key | ((percent * size + 99) // 100).astype(np.uint64))
-    rest = size - entries["place"]
-    return paired & (100 * rest >= percent * (size + size[np.minimum(low, n - 1)] - rest))
+def allowed_pairs(entries: np.ndarray, label: np.ndarray, percent: int, look: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of sorted entries with different labels which sizes and places allow to be similar, in blocks.
+
+    In each tile the entries of its most frequent label are not compared with one another: the others are, and each of them with those of
+    that label whose sizes are in reach. With look, others are compared that many places ahead; pairs further away are given unchecked, in part.
+    """
+    if not len(entries):
+        return
+    tile, size = entries["tile"], entries["size"].astype(np.int64)
+    # The most frequent label of each tile.
+    order = np.lexsort((label, tile))
+    run = np.flatnonzero(np.r_[True, (tile[order][1:] != tile[order][:-1]) | (label[order][1:] != label[order][:-1])])
+    count = np.diff(np.r_[run, len(order)])
+    tiles, of = np.unique(tile[order][run], return_inverse=True)
+    best = np.lexsort((count, of))
+    best = best[np.flatnonzero(np.r_[of[best][1:] != of[best][:-1], True])]
+    main = np.zeros(len(entries), bool)
+    main[order] = np.repeat(np.isin(np.arange(len(run)), best), count)
+    others, mains = np.flatnonzero(~main), np.flatnonzero(main)
+    # Others with the main label's, found by their sizes.
+    if len(others):
+        key = (tile[mains].astype(np.uint64) << np.uint64(32)) | size[mains].astype(np.uint64)
+        head = tile[others].astype(np.uint64) << np.uint64(32)
+        low = np.searchsorted(key, head | ((percent * size[others] + 99) // 100).astype(np.uint64))
+        high = np.searchsorted(key, head | np.minimum(100 * size[others] // percent, (1 << 32) - 1).astype(np.uint64), "right")
+        width = high - low
+        ends = np.cumsum(width)
+        begin = 0
+        while begin < len(others):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HOLD, "right")))
+            for part in range(0, int(width[begin:end].max(initial=0)), HOLD):  # one entry's pairs may be more than are held
+                w = np.clip(width[begin:end] - part, 0, HOLD)
+                a = np.repeat(others[begin:end], w)
+                b = mains[np.repeat(low[begin:end] + part, w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)]
+                fine = _allowed(entries, label, a, b, percent)
+                yield a[fine], b[fine]
+            begin = end
+    # Others among themselves. Sizes rise in a tile: once a partner is too large for an entry, all later ones are.
+    at = np.arange(len(others))
+    for lag in range(1, len(others)):
+        at = at[at + lag < len(others)]
+        at = at[_near(tile, size, others[at], others[at + lag], percent)]
+        if not len(at):
+            return
+        a, b = others[at], others[at + lag]
+        if look is not None and lag > look:
+            yield a, b
+            continue
+        fine = _allowed(entries, label, a, b, percent)
+        yield a[fine], b[fine]
+
+
+def with_partner(entries: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sorted entries may have a partner with another label in their tile."""
+    out = np.zeros(len(entries), bool)
+    for a, b in allowed_pairs(entries, label, percent, LOOK):
+        out[a] = out[b] = True
+    return out
+
+
+def blocks(entries: np.ndarray, percent: int, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+    """Sorted entries with the number of a part (0 for all of the small tiles): of a large tile, two blocks that sizes allow to meet."""
+    if not len(entries):
+        return
+    heads = np.flatnonzero(np.r_[True, entries["tile"][1:] != entries["tile"][:-1]])
+    lengths = np.diff(np.r_[heads, len(entries)])
+    small = entries[np.repeat(lengths <= size, lengths)]
+    if len(small):
+        yield 0, small
+    number = 0
+    for head, length in zip(heads[lengths > size].tolist(), lengths[lengths > size].tolist()):
+        cut = [entries[at : min(at + size, head + length)] for at in range(head, head + length, size)]
+        for i, x in enumerate(cut):
+            for j in range(i, len(cut)):
+                y = cut[j]
+                if i < j and 100 * int(x["size"][-1]) < percent * int(y["size"][0]):
+                    break
+                number += 1
+                if i == j:
+                    yield number, x
+                else:
+                    both = np.concatenate([x, y])
+                    both["side"] = np.repeat([1, 2], [len(x), len(y)])
+                    yield number, both
+
+
+def _by_node(part: int, entries: np.ndarray, shard: int) -> pa.Table:
+    """Entries in a row for each node."""
+    entries = entries[np.argsort(entries["sid"], kind="stable")]
+    heads = np.flatnonzero(np.r_[True, entries["sid"][1:] != entries["sid"][:-1]])
+    parts = np.split(entries, heads[1:])
+    ones = np.ones(len(heads), np.int64)
+    return pa.table({"shard": shard * ones, "part": part * ones, "sid": entries["sid"][heads], "blob": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+
+_NODE = "shard long, part long, sid long, blob binary"
+_NO_NODES = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("sid", pa.int64()), ("blob", pa.binary())]).empty_table()
 
 
 def _partners(percent: int):
-    """Of a shard, the nodes that may have a partner, each with its tiles and places."""
+    """Of a shard, the nodes that may have a partner, each with its entries."""
 
     def run(group: pa.Table) -> pa.Table:
-        entries = _sorted(np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]))
-        entries = entries[with_partner(entries, percent)]
-        entries = entries[np.argsort(entries["sid"], kind="stable")]
-        heads = np.flatnonzero(np.r_[True, entries["sid"][1:] != entries["sid"][:-1]]) if len(entries) else np.zeros(0, np.int64)
+        entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()])
+        entries = entries[in_order(entries)]
+        # Copies of a set from several tasks.
+        entries = entries[np.r_[True, (entries["tile"][1:] != entries["tile"][:-1]) | (entries["sid"][1:] != entries["sid"][:-1])]]
+        entries = entries[with_partner(entries, entries["sid"], percent)]
+        return _by_node(0, entries, group.column("shard")[0].as_py()) if len(entries) else _NO_NODES
+
+    return run
+
+
+def _apart(percent: int):
+    """Of a shard's nodes (shard, part, sid, label, blob), those that may have a partner with another label, large tiles in pairs of blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        entries, node = _entries(group)
+        order = in_order(entries)
+        entries, label = entries[order], group.column("label").to_numpy()[node[order]]
+        entries = entries[with_partner(entries, label, percent)]
         shard = group.column("shard")[0].as_py()
-        parts = np.split(entries, heads[1:]) if len(heads) else []
-        return pa.table({"shard": pa.array([shard] * len(heads), pa.int64()), "sid": pa.array(entries["sid"][heads]), "blob": pa.array([x.tobytes() for x in parts], pa.binary())})
+        found = [_by_node(part, own, shard) for part, own in blocks(entries, percent)]
+        return pa.concat_tables(found) if found else _NO_NODES
 
     return run
 
 
+def _entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a group's blobs, and the row of each."""
+    parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
 class Bitmaps:
     """Bitmaps of a group's nodes, in a matrix for each width."""
 
@@ -220,7 +375,7 @@ class Bitmaps:
         for kind in np.unique(kinds).tolist():
             at = np.flatnonzero(kinds == kind)
             wide, narrow = kind >> 32, kind & 0xFFFFFFFF
-            step = max(1, (1 << 21) // max(wide, narrow))
+            step = max(1, (1 << 20) // max(wide, narrow))
             for begin in range(0, len(at), step):
                 part = at[begin : begin + step]
                 x, y = self.matrix[wide][self.row[a[part]]], self.matrix[narrow][self.row[b[part]]]
@@ -232,94 +387,153 @@ class Bitmaps:
         return out
 
 
-def tile_pairs(entries: np.ndarray, node: np.ndarray, bitmaps: Bitmaps, percent: int) -> Iterator[np.ndarray]:
-    """Pairs of rows of sorted entries of one tile which sizes, labels, places and bitmaps allow to be similar; node is an entry's bitmap."""
-    tile, size, label, place = entries["shingle"], entries["size"].astype(np.int64), entries["label"], entries["place"].astype(np.int64)
-    at = np.arange(len(entries))
-    # Sizes rise in a tile: once a partner is too large for an entry, all later ones are.
-    for lag in range(1, len(entries)):
-        at = at[at + lag < len(entries)]
-        to = at + lag
-        near = (tile[at] == tile[to]) & (100 * size[at] >= percent * size[to])
-        at = at[near]
-        if not len(at):
+class Forest:
+    """Candidates of a task, thinned to a forest over labels; entries whose pairs were held back are marked."""
+
+    def __init__(self, sid: np.ndarray, label: np.ndarray, thin: bool):
+        self.sid, self.label, self.thin = sid, label, thin
+        self.held = np.zeros(len(sid), bool)
+        self.a = self.b = np.zeros(0, np.int64)
+        self.bound = np.zeros(0)
+
+    def add(self, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> None:
+        turn = self.sid[a] > self.sid[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        self.a, self.b, self.bound = np.concatenate([self.a, a]), np.concatenate([self.b, b]), np.concatenate([self.bound, bound])
+        if len(self.a) > HOLD:
+            self.settle()
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.a, self.b, self.bound = self.a[rows], self.b[rows], self.bound[rows]
+
+    def settle(self) -> None:
+        """One row for each pair of nodes; if thin, the best ones that join labels."""
+        order = np.lexsort((self.sid[self.b], self.sid[self.a], -self.bound))
+        self._keep(order)
+        pair = np.stack([self.sid[self.a], self.sid[self.b]], axis=1)
+        self._keep(np.sort(np.unique(pair, axis=0, return_index=True)[1]))
+        if not self.thin:
             return
-        to = at + lag
-        rest = np.minimum(size[at] - place[at], size[to] - place[to])
-        both = size[at] + size[to]
-        fine = (label[at] != label[to]) & (100 * rest >= percent * (both - rest))
-        a, b, both = at[fine], to[fine], both[fine]
-        if len(a):
-            bound = (both - bitmaps.differing(node[a], node[b])) // 2
-            fine = 100 * bound >= percent * (both - bound)
-            if fine.any():
-                yield np.stack([a[fine], b[fine]], axis=1)
+        names, ends = np.unique(np.stack([self.label[self.a], self.label[self.b]]), return_inverse=True)
+        ends = ends.reshape(2, -1)
+        _, first = np.unique(np.sort(ends, axis=0), axis=1, return_index=True)
+        root, chosen = list(range(len(names))), np.zeros(len(self.a), bool)
 
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
 
-def _tiles(percent: int, sparse: bool):
-    """Pairs of a shard's nodes (sid, label, bits, blob) that tiles leave; sparse: one for each pair of labels, another in each shard."""
+        for i in np.sort(first).tolist():  # the most similar first
+            x, y = find(int(ends[0, i])), find(int(ends[1, i]))
+            if x != y:
+                root[x] = y
+                chosen[i] = True
+        self.held[self.a[~chosen]] = self.held[self.b[~chosen]] = True
+        self._keep(np.flatnonzero(chosen))
 
-    def thinned(pairs: np.ndarray, shard: int) -> np.ndarray:
-        pairs = np.unique(pairs, axis=0)
-        if not sparse or not len(pairs):
-            return pairs
-        order = np.argsort(mix(pairs[:, 0].astype(np.uint64) * _ODD ^ pairs[:, 1].astype(np.uint64) ^ np.uint64(shard)))
-        pairs = pairs[order]
-        _, first = np.unique(np.sort(pairs[:, 2:], axis=1), axis=0, return_index=True)
-        return pairs[first]
+
+_FOUND = "a long, b long, u long, v long, " + _NODE
+
+
+def _tiles(percent: int, thin: bool):
+    """Candidates (a, b) of a group's nodes (sid, label, bits, blob) with their labels (u, v), and the nodes whose pairs are held back."""
 
     def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        parts = [np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()]
-        entries, node = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        entries["label"] = group.column("label").to_numpy()[node]
-        order = np.lexsort((entries["sid"], entries["size"], entries["shingle"]))
+        entries, node = _entries(group)
+        order = in_order(entries)
         entries, node = entries[order], node[order]
-        held, found = 0, [np.zeros((0, 4), np.int64)]
-        for rows in tile_pairs(entries, node, Bitmaps(group.column("bits").to_pylist()), percent):
-            sid, label = entries["sid"][rows], entries["label"][rows]
-            turn = sid[:, 0] > sid[:, 1]
-            sid[turn], label[turn] = sid[turn][:, ::-1], label[turn][:, ::-1]
-            found.append(np.concatenate([sid, label], axis=1))
-            held += len(rows)
-            if held > 1 << 20:
-                found = [thinned(np.concatenate(found), shard)]
-                held = len(found[0]) // 2
-        pairs = thinned(np.concatenate(found), shard)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        label, size = group.column("label").to_numpy()[node], entries["size"].astype(np.int64)
+        bitmaps, forest = Bitmaps(group.column("bits").to_pylist()), Forest(entries["sid"], label, thin)
+        for a, b in allowed_pairs(entries, label, percent):
+            both = size[a] + size[b]
+            bound = (both - bitmaps.differing(node[a], node[b])) // 2
+            fine = 100 * bound >= percent * (both - bound)
+            if fine.any():
+                forest.add(a[fine], b[fine], (bound / np.maximum(1, both - bound))[fine])
+        forest.settle()
+        pairs = pa.table({"a": forest.sid[forest.a], "b": forest.sid[forest.b], "u": label[forest.a], "v": label[forest.b]})
+        pairs = pa.table([*pairs.columns, *[pa.nulls(len(pairs), f.type) for f in _NO_NODES.schema]], [*pairs.schema.names, *_NO_NODES.schema.names])
+        if not forest.held.any():
+            return pairs
+        back = _by_node(group.column("part")[0].as_py(), entries[forest.held], group.column("shard")[0].as_py())
+        back = pa.table([*[pa.nulls(len(back), pa.int64())] * 4, *back.columns], pairs.schema.names)
+        return pa.concat_tables([pairs, back])
 
     return run
 
 
-def _arrays(n: int):
-    """Sorted shingle arrays of the documents asked for (columns doc_id, text, sid)."""
+_MARKS = "sid long, size long, bits binary, short binary, leaders array<long>, data binary"
+
+
+def _marks(n: int):
+    """Bitmaps, minima and sorted arrays of the sets asked for (columns text, sid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in text_blocks(batches):
+        for batch in text_blocks(batches, 1 << 20):
             rows = []
             for text, sid in zip(batch.column("text").to_pylist(), batch.column("sid").to_pylist()):
                 values = shingle_set(text or "", n, hashes)
-                if np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).astype(np.int64) == sid:
-                    rows.append((sid, values.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sid", "data"])
+                if len(values) and set_id(values) == sid:  # else another row with this key
+                    bits = bitmap(values)
+                    rows.append((sid, len(values), bits.tobytes(), brief(bits).tobytes(), [int(mix(values ^ s).min().astype(np.int64)) for s in _SEEDS[:LEADERS]], values.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["sid", "size", "bits", "short", "leaders", "data"])
 
     return run
 
 
-def _bounded(percent: int):
+def _folded(bits: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        bits = (bits ^ (bits >> width)) & ((1 << width) - 1)
+    return bits
+
+
+def _led(percent: int):
+    """Pairs (a, b) of rows (key, salt, size, sid, short) in this order: each with the likest of the leaders that a key has so far."""
+
+    def likest(size: int, width: int, bits: int, leaders: list[tuple]) -> tuple | None:
+        best, most = None, -1.0
+        for leader in leaders:
+            narrow = min(width, leader[1])
+            differ = (_folded(bits, width, narrow) ^ _folded(leader[2], leader[1], narrow)).bit_count()
+            bound = (size + leader[0] - differ) // 2
+            if similar(bound, size, leader[0], percent) and bound / max(1, size + leader[0] - bound) > most:
+                best, most = leader, bound / max(1, size + leader[0] - bound)
+        return best
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, []
         for batch in batches:
-            c = {k: batch.column(k).to_pylist() for k in ("bits_a", "bits_b", "size_a", "size_b")}
-            keep = [
-                similar(overlap_bound(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), m, k), m, k, percent)
-                for x, y, m, k in zip(c["bits_a"], c["bits_b"], c["size_a"], c["size_b"])
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
+            new = np.r_[last != (key[0], salt[0]), (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]
+            last = key[-1], salt[-1]
+            # The last row may go on in the next batch; others that are alone have no one to meet.
+            rows = np.flatnonzero(~(new & np.r_[new[1:], False]))
+            part = batch.take(pa.array(rows))
+            a, b = [], []
+            for fresh_key, sid, size, short in zip(new[rows].tolist(), part.column("sid").to_pylist(), part.column("size").to_pylist(), part.column("short").to_pylist()):
+                width, bits = 8 * len(short), int.from_bytes(short, "little")
+                leaders = [] if fresh_key else [x for x in leaders if 100 * x[0] >= percent * size]
+                found = likest(size, width, bits, leaders)
+                if found:
+                    a.append(found[3]), b.append(sid)
+                else:
+                    leaders = [*leaders, (size, width, bits, sid)][-HELD:]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+_LINK = "a long, b long, u long, v long"
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,41 +544,29 @@ def _verified(percent: int):
                     a, b = b, a
                 at = np.searchsorted(b, a)
                 keep.append(similar(int((b[np.minimum(at, len(b) - 1)] == a).sum()), len(a), len(b), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _near(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that bitmaps allow to be similar."""
-    bits = nodes.select("sid", "bits", F.col("n_shingles").alias("size"))
-    side = lambda s: bits.select(F.col("sid").alias(s), F.col("bits").alias(f"bits_{s}"), F.col("size").alias(f"size_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded(percent), "a long, b long")
-
-
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table that are similar, by exact intersection."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(nodes.select("sid", "row"), "sid")
-    wanted = written(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.row") == F.col("w.row")).select("d.text", "w.sid")
-    arrays = written(texts.mapInArrow(_arrays(n), "sid long, data binary").dropDuplicates(["sid"]), "arrays")
+def _links(marks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, u, v) of a written table that are similar, by exact intersection of the sorted arrays."""
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    arrays = marks.select("sid", "data").join(_small(wanted), "sid", "left_semi")
     half = lambda s: arrays.select(F.col("sid").alias(s), F.col("data").alias(f"data_{s}"))
-    return pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), "a long, b long")
+    return pairs.join(half("a"), "a").join(half("b"), "b").mapInArrow(_verified(percent), _LINK)
 
 
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose labels u and v differ."""
-    label = lambda s, name: known.select(F.col("sid").alias(s), F.col("label").alias(name))
-    return pairs.join(label("a", "u"), "a").join(label("b", "v"), "b").where("u <> v")
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast only if it was counted and is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
-    """known (sid, doc_id, row, label) with one label for all that links (a, b) connect."""
-    found = components(_apart(links, known).select("u", "v"))
-    new = known.join(found.select(F.col("node").alias("label"), F.col("label").alias("_new")), "label", "left")
-    return written(new.select("sid", "doc_id", "row", F.coalesce("_new", "label").alias("label")), "known")
+def _relabelled(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """known (sid, label) with one label for all labels that links (u, v) connect."""
+    found = components(links.select("u", "v"), scratch)
+    new = known.join(found.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+    return scratch.replaced(new.select("sid", F.coalesce("new", "label").alias("label")), "known")
 
 
 def row_key() -> Column:
@@ -384,44 +586,60 @@ def linked(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     return _linked(documents, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
+def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """sid, label of the nodes that may have a partner: the smallest sid that links reach."""
+    spark = docs.sparkSession
+    top = sets.where("kind = 1").groupBy("bucket").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "bucket").limit(FREQUENT)
+    frequent = spark.sparkContext.broadcast(np.array([(r.bucket, r.n) for r in top.collect()], np.int64).reshape(-1, 2))
+    # 1. Tiles. Shards have a bounded size, so that their number follows the data.
+    volume = nodes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1), F.count(F.lit(1))).first()
+    shards = max(shard_count(spark, 1), int(volume[0] or 0) * _ENTRY.itemsize // SHARD_BYTES)
+    blobs = docs.select("text").mapInArrow(_prefixes(words, percent, shards, frequent), "shard long, blob binary")
+    partners = scratch.written(blobs.groupBy("shard").applyInArrow(_partners(percent), _NODE), "partners")
+    # Bitmaps, minima and arrays are made only for nodes that have a partner.
+    rows = scratch.written(nodes.select("sid", "row").join(partners.select("sid").distinct(), "sid"), "rows")
+    texts = docs.join(_small(rows), "row").select("text", "sid")
+    # Several rows may share the key: all columns follow from the set, so that any of them will do.
+    made = texts.mapInArrow(_marks(words), _MARKS).groupBy("sid").agg(*[F.first(c).alias(c) for c in ("size", "bits", "short", "leaders", "data")])
+    marks = scratch.written(made, "marks")
+    # 2. Leaders.
+    salts = 1 + int(volume[1] or 0) // SALT
+    keyed = marks.select(F.explode("leaders").alias("key"), F.pmod(F.xxhash64("sid"), F.lit(salts)).alias("salt"), "size", "sid", "short")
+    keyed = keyed.repartition("key", "salt").sortWithinPartitions("key", "salt", "size", "sid")
+    pairs = keyed.mapInArrow(_led(percent), "a long, b long").distinct().select("a", "b", F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = scratch.written(pairs, "pairs")
+    known = scratch.written(marks.select("sid", F.col("sid").alias("label")), "known")
+    known = _relabelled(known, _links(marks, pairs, percent), scratch)
+    # 3 and 4. Passes over the tiles, until no pair is held back.
+    now = scratch.written(partners.join(known, "sid").groupBy("shard").applyInArrow(_apart(percent), _NODE), "apart")
+    for number in range(PASSES):
+        met = now.join(marks.select("sid", "bits"), "sid").join(known, "sid")
+        thin = number < PASSES - 1
+        found = scratch.written(met.groupBy("shard", "part").applyInArrow(_tiles(percent, thin), _FOUND), "found")
+        pairs = scratch.written(found.where("a is not null").groupBy("a", "b").agg(F.min("u").alias("u"), F.min("v").alias("v")), "pairs")
+        if not pairs.isEmpty():
+            known = _relabelled(known, _links(marks, pairs, percent), scratch)
+        now = found.where("blob is not null").select("shard", "part", "sid", "blob")
+        if not thin or now.isEmpty():
+            break
+    return known
+
+
 def _linked(documents: DataFrame, words: int, percent: int) -> DataFrame:
     """linked() with the key of each row and that of the row that stands for its component (its own where it has no shingles)."""
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
-    schema = "kind int, doc_id long, row long, n_shingles long, sid long, bits binary, leaders array<long>, bucket long, count long"
-    sets = written(docs.mapInArrow(_sets(words), schema), "sets")
-    top = sets.where("kind = 1").groupBy("bucket").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "bucket").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.array([(r.bucket, r.n) for r in top.collect()], np.int64).reshape(-1, 2))
-    rows = sets.where("kind = 0").select("doc_id", "row", "n_shingles", "sid")
+    sets = written(docs.mapInArrow(_sets(words), _SETS), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")
-    # A set stands in the row of its least doc_id, of least key where several rows have that; null is last. Equal sets have equal bitmaps and leaders.
-    nodes = written(sets.where("kind = 0 and sid is not null").groupBy("sid").agg(least, F.min("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"), F.min("leaders").alias("leaders")).select("sid", "least.doc_id", "least.row", "n_shingles", "bits", "leaders"), "nodes")
-    # 1. Leaders: of each group the least node, and the least by other orders.
-    keyed = nodes.select("sid", F.posexplode("leaders").alias("which", "key"))
-    chosen = [F.min_by("sid", F.xxhash64(F.lit(r), "sid")).alias(f"a{r}") for r in range(ROUNDS)]
-    groups = keyed.groupBy("which", "key").agg(*chosen, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    led = written(keyed.join(groups, ["which", "key"]).select("sid", *[f"a{r}" for r in range(ROUNDS)]).distinct(), "led")
-    known = written(nodes.select("sid", "doc_id", "row", F.col("sid").alias("label")), "known")
-    for r in range(ROUNDS):
-        pairs = _apart(led.select(F.col(f"a{r}").alias("a"), F.col("sid").alias("b")).where("a <> b").distinct(), known).select("a", "b")
-        near = written(_near(nodes, pairs, percent), "pairs")
-        if not near.isEmpty():
-            known = _joined(known, _links(docs, nodes, near, words, percent))
-    # 2. Tiles.
-    # Every set is asked for here: a broadcast where the table is small, else a join on the row's key.
-    stand = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    texts = docs.alias("d").join(stand.alias("k"), F.col("d.row") == F.col("k.row")).select("d.text", "k.sid", "k.label")
-    blobs = texts.mapInArrow(_prefixes(words, percent, shard_count(spark), frequent), "shard long, blob binary")
-    partners = written(blobs.groupBy("shard").applyInArrow(_partners(percent), "shard long, sid long, blob binary"), "partners")
-    # 3 and 4, twice: first one pair for each two labels in a shard, which connects nearly all that can be; then all pairs that are left.
-    for sparse in (True, False):
-        met = partners.join(nodes.select("sid", "bits"), "sid").join(known.select("sid", "label"), "sid")
-        pairs = written(met.groupBy("shard").applyInArrow(_tiles(percent, sparse), "a long, b long").distinct(), "candidates")
-        if not pairs.isEmpty():
-            known = _joined(known, _links(docs, nodes, pairs, words, percent))
-    final = known
-    final = final.withColumnRenamed("label", "root")
-    final = final.join(final.groupBy("root").agg(least), "root").select("sid", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stand"))
+    with Scratch(documents.sparkSession) as scratch:
+        # A set stands in the row of its least doc_id, of least key where several rows have that; null is last.
+        nodes = sets.where("kind = 0 and sid is not null").groupBy("sid").agg(least, F.min("n_shingles").alias("n_shingles"))
+        nodes = scratch.written(nodes.select("sid", "least.doc_id", "least.row", "n_shingles"), "nodes")
+        known = _labels(docs, sets, nodes, words, percent, scratch).withColumnRenamed("label", "root")
+        stands = nodes.join(known, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        # Sets without a partner stand for themselves: only components of several are put together.
+        several = stands.groupBy("root").agg(least, F.count(F.lit(1)).alias("n")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stand"))
+        final = written(stands.select("sid", "root").join(several, "root").select("sid", "component_id", "stand"), "stands")
+    rows = sets.where("kind = 0").select("doc_id", "row", "n_shingles", "sid")
     own = lambda mine, name: F.when(F.col("sid").isNull(), F.col(mine)).otherwise(F.col(name)).alias(name)
     return rows.join(final, "sid", "left").select("doc_id", "row", "sid", "n_shingles", own("doc_id", "component_id"), own("row", "stand"))
 
@@ -433,12 +651,12 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     are told apart by that key, so that other texts under the same or a null doc_id stay. Of rows that agree in doc_id and text the
     least by all columns stays.
     """
+    key, least = fresh(documents, "key"), fresh(documents, "least")
     found = _linked(documents, words, percent).where("sid is not null").groupBy("row").agg(F.min("stand").alias("stand"), F.count(F.lit(1)).alias("n"))
-    gone = written(found.where("row <> stand or n > 1").select(F.col("row").alias("_row"), (F.col("row") == F.col("stand")).alias("_stands")), "gone")
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    out = documents.join(small(gone), row_key() == F.col("_row"), "left_anti")
-    repeated = gone.where("_stands")
+    gone = written(found.where("row <> stand or n > 1").select(F.col("row").alias(key), (F.col("row") == F.col("stand")).alias("stands")), "gone")
+    out = documents.join(_small(gone.select(key)), row_key() == F.col(key), "left_anti")
+    repeated = gone.where("stands").select(key)
     if repeated.isEmpty():
         return out
-    once = documents.join(small(repeated), row_key() == F.col("_row"), "left_semi").groupBy(row_key()).agg(F.min(F.struct(*documents.columns)).alias("_least"))
-    return out.unionByName(once.select("_least.*"))
+    once = documents.join(_small(repeated), row_key() == F.col(key), "left_semi").groupBy(row_key()).agg(F.min(F.struct(*documents.columns)).alias(least))
+    return out.unionByName(once.select(f"{least}.*"))
