@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup
 
@@ -39,6 +40,21 @@ def test_exact_groups(docs, rows, primes):
         assert g.text_sha256 == hashlib.sha256(squeezed(r[1]).encode()).hexdigest()
 
 
+def test_pieces_of_long_texts_are_hashed_apart(spark, odd, monkeypatch):
+    """Texts beyond the limit are hashed and compared in pieces of many tasks, across pieces whose borders white space moves."""
+    body = "".join(chr(33 + k * k % 90) + "é" * (k % 3) for k in range(40_000))
+    texts = [body, body[:70_000] + " \n" + body[70_000:], " " * 3_000 + body, body[:-1] + "~", body + "x", None, "", "short", "sh ort"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(2, texts[2]), (None, body)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for primes in (exact_dedup.PRIMES, (3, 5)):
+        got = exact_dedup.exact_groups(df, primes, 1 << 12, 1 << 14).collect()
+        plain = exact_dedup.exact_groups(df, primes).collect()
+        key = lambda r: (r.text_sha256, r.doc_id is None, r.doc_id or 0, r.kept)
+        assert sorted(got, key=key) == sorted(plain, key=key)
+    marks = exact_dedup.long_marks(df.where("doc_id = 1").selectExpr("5L as row", "text"), exact_dedup.PRIMES, 1 << 12).collect()
+    assert [(r.row, r.fp_a, r.fp_b, r.length) for r in marks] == [(5, *exact_dedup.fingerprint(squeezed(texts[1]).encode()), len(squeezed(texts[1]).encode()))]
+
+
 def test_fingerprints_compose():
     data = bytes(range(256)) * 3000
     whole = exact_dedup.fingerprint(data)
@@ -54,7 +70,11 @@ def test_exact_odd(odd, empty):
     for r in got:
         by[r.text_sha256].append(r)
     assert all(sum(r.kept for r in g) == 1 for g in by.values())
+    odd = odd.withColumns({n: F.lit("u") for n in ("_doc", "_sha0", "_sha", "group_doc", "group_sha", "key", "least", "row")})
     kept = exact_dedup.dedup(odd)
+    assert {r.group_sha for r in kept.collect()} == {r["_sha0"] for r in kept.collect()} == {"u"}
+    near = ngram_join.one_of_each(odd)
+    assert near.columns == odd.columns and near.count() > 0
     assert kept.columns == odd.columns and kept.count() == len(by)
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.dedup(empty).count() == 0
 
@@ -126,6 +146,123 @@ def test_bitmaps_bound_overlaps():
         assert ngram_join.overlap_bound(ngram_join.bitmap(a), ngram_join.bitmap(b), len(a), len(b)) >= len(np.intersect1d(a, b))
 
 
+def test_prefixes_share_what_they_promise():
+    """Of two sets that are similar enough, the first shingles of the overlap lie in both prefixes."""
+    rng = __import__("random").Random(9)
+    for percent in (50, 80, 85):
+        for _ in range(400):
+            n = rng.choice([1, 2, 3, 5, 9, 40, 41, 90, 200])
+            a = set(rng.sample(range(1000), n))
+            b = set(a)
+            for _ in range(rng.randint(0, max(1, n // 5))):
+                b.discard(rng.choice(sorted(a)))
+                b.add(rng.randrange(1000))
+            if not b or 100 * len(a & b) < percent * len(a | b):
+                continue
+            prefix = lambda s: set(sorted(s)[: ngram_join.prefix_length(len(s), percent)])
+            shared = int(ngram_join.shared_least(min(len(a), len(b)), percent))
+            assert len(prefix(a) & prefix(b)) >= shared
+            for s in (a, b):  # what a set asks for by its own size alone
+                low = -(-percent * len(s) // 100)
+                assert shared >= min(1 + low // ngram_join.SHARED, -(-percent * low // 100))
+
+
+def random_entries(rng, nodes, tiles):
+    """Entries of nodes in tiles, as a shard has them, in order; and a label for each."""
+    import numpy as np
+
+    out = np.zeros(nodes, ngram_join._ENTRY)
+    out["tile"], out["size"] = rng.integers(0, tiles, nodes), rng.integers(8, 40, nodes)
+    out["place"], out["sid"] = rng.integers(0, 6, nodes), rng.permutation(nodes)
+    return out[ngram_join.in_order(out)], rng.choice([1, 1, 1, 2, 3, 4, 5], nodes)
+
+
+def plain_pairs(e, label, percent):
+    found = set()
+    for i in range(len(e)):
+        for j in range(i + 1, len(e)):
+            a, b = e[i], e[j]
+            rest = min(int(a["size"]) - int(a["place"]), int(b["size"]) - int(b["place"])) + int(ngram_join.shared_least(min(int(a["size"]), int(b["size"])), percent)) - 1
+            both = int(a["size"]) + int(b["size"])
+            fine = a["tile"] == b["tile"] and label[i] != label[j] and 100 * int(a["size"]) >= percent * int(b["size"]) and 100 * rest >= percent * (both - rest)
+            if fine and (a["side"] == 0 or a["side"] != b["side"]):
+                found.add((i, j))
+    return found
+
+
+@pytest.mark.parametrize("hold", [7, 1 << 20])
+def test_pairs_of_tiles_by_brute_force(monkeypatch, hold):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "HOLD", hold)
+    rng = np.random.default_rng(3)
+    for percent in (60, 85):
+        entries, label = random_entries(rng, 150, 4)
+        want = plain_pairs(entries, label, percent)
+        got = [tuple(sorted(p)) for a, b in ngram_join.allowed_pairs(entries, label, percent) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want and want
+        partner = ngram_join.with_partner(entries, label, percent)
+        assert {i for p in want for i in p} == set(np.flatnonzero(partner).tolist())
+        monkeypatch.setattr(ngram_join, "LOOK", 3)
+        assert {i for p in want for i in p} <= set(np.flatnonzero(ngram_join.with_partner(entries, label, percent)).tolist())
+        monkeypatch.setattr(ngram_join, "LOOK", 64)
+
+
+def test_blocks_of_large_tiles_hold_every_pair_once():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    entries, label = random_entries(rng, 200, 3)
+    named = dict(zip(entries["sid"].tolist(), label.tolist()))
+    whole = {frozenset(entries["sid"][list(p)].tolist()) for p in plain_pairs(entries, label, 85)}
+    parts = list(ngram_join.blocks(entries, 85, 16))
+    got = []
+    for _, own in parts:
+        own = own[ngram_join.in_order(own)]
+        labels = np.array([named[s] for s in own["sid"].tolist()])
+        got += [frozenset((int(own["sid"][i]), int(own["sid"][j]))) for a, b in ngram_join.allowed_pairs(own, labels, 85) for i, j in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == whole and len(parts) > 3
+    assert max(len(own) for number, own in parts if number) <= 32
+
+
+def test_forests_hold_back_what_they_do_not_give():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sid, label = rng.permutation(60), rng.integers(0, 9, 60)
+    for hold in (5, 1 << 20):
+        forest = ngram_join.Forest(sid, label, True)
+        asked = [(i, j) for i in range(60) for j in range(i) if label[i] != label[j] and rng.random() < 0.2]
+        ngram_join.HOLD, before = hold, ngram_join.HOLD
+        for i, j in asked:
+            forest.add(np.array([i]), np.array([j]), np.array([rng.random()]))
+        forest.settle()
+        ngram_join.HOLD = before
+        given = {frozenset(p) for p in zip(forest.a.tolist(), forest.b.tolist())}
+        assert len(given) <= 8 and given <= {frozenset(p) for p in asked}
+        assert all(frozenset(p) in given or (forest.held[p[0]] and forest.held[p[1]]) for p in asked)
+
+
+def test_links_across_salts_blocks_and_passes(spark, monkeypatch):
+    """A chain of near copies in frequent words, with every bound made small: links are those of brute force."""
+    for name, value in (("SALT", 20), ("SHARD_BYTES", 2_000), ("LOOK", 2), ("HELD", 1), ("SEEN", 5), ("BROADCAST_ROWS", 0), ("WORD_CACHE", 50)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "SHARED", 7)
+    monkeypatch.setattr(ngram_join.blocks, "__defaults__", (8,))
+    rng = __import__("random").Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows, words = [], list(base)
+    for k in range(90):
+        words = list(words)
+        words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(rng.sample(base, 30) + base[:30])) for k in range(30)] + [(200 + k, rows[k][1]) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = by_id(ngram_join.linked(df, 3, 70))
+    for d, size, component in components(rows, 3, 70):
+        assert (got[d].n_shingles, got[d].component_id) == (size, component), d
+
+
 def windows_expected(rows, width):
     words = [WORD.findall(r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))

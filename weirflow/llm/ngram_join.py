@@ -3,9 +3,9 @@
 Documents are sets of 64-bit shingle hashes; equal sets are one node. The join finds all pairs of nodes whose similarity reaches
 the threshold, but for those that verified links already connect:
 
-1. Tiles. Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each in one common order, here rare shingles
-   first. Prefix shingles are dealt to shards, frequent ones in bands of size; a tile is the nodes of one prefix shingle in the order of
-   their sizes. Only nodes with a partner in a tile, by sizes and places, go on, each with its tiles.
+1. Tiles. Two linked sets share k shingles among the first n - ceil(t * n) + k of each in one common order, here rare shingles
+   first; k grows with the sets. Prefix shingles are dealt to shards, frequent ones in bands of size; a tile is the nodes of one prefix shingle
+   in the order of their sizes. Only nodes that have a partner, by sizes and places, in at least k tiles go on, each with its tiles.
 2. Leaders. Of the nodes that go on, those that share a minimum of a hash function pass in the order of their sizes, and each is paired
    with one of the last few that came before it and are like none before them. That is at most one pair for each node and function,
    and connects nearly all of a family of near copies.
@@ -48,6 +48,8 @@ BROADCAST_ROWS = 1_000_000
 SHARD_BYTES, BLOCK = 4 << 20, 8_192
 #: Passes over the tiles: all but the last give forests.
 PASSES = 3
+#: Shingles for each one more that two prefixes must share.
+SHARED = 40
 #: Places that an entry looks ahead for its partners before all in reach are taken to be some.
 LOOK = 64
 #: Pairs that a task holds before it thins them out.
@@ -153,8 +155,14 @@ def _sets(n: int):
 _ENTRY = np.dtype([("tile", "<u4"), ("size", "<u4"), ("place", "<u4"), ("side", "u1"), ("sid", "<i8")])
 
 
+def shared_least(size, percent: int):
+    """How many shingles two linked sets share in their prefixes at least, if the smaller one has this size (a number or an array)."""
+    return np.minimum(1 + size // SHARED, -(-percent * size // 100))
+
+
 def prefix_length(size: int, percent: int) -> int:
-    return size + (-percent * size) // 100 + 1
+    """size - ceil(t * size) and the shingles that are shared: those of the overlap that come first in the order lie in both prefixes."""
+    return size + (-percent * size) // 100 + int(shared_least(size, percent))
 
 
 def size_band(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -215,9 +223,12 @@ def _near(tile: np.ndarray, size: np.ndarray, at: np.ndarray, to: np.ndarray, pe
 
 
 def _allowed(entries: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of entries of one tile can be similar by their places (what precedes a place is not in the overlap), and are asked for."""
+    """Whether pairs of entries of one tile can be similar by their places, and are asked for.
+
+    A tile has to give a pair only if its shingle is one of the first that both share: what precedes it holds fewer of the overlap than that.
+    """
     size, place, side = entries["size"].astype(np.int64), entries["place"].astype(np.int64), entries["side"]
-    rest = np.minimum(size[a] - place[a], size[b] - place[b])
+    rest = np.minimum(size[a] - place[a], size[b] - place[b]) + shared_least(np.minimum(size[a], size[b]), percent) - 1
     fine = (label[a] != label[b]) & (100 * rest >= percent * (size[a] + size[b] - rest))
     return fine & ((side[a] == 0) | (side[a] != side[b]))
 
@@ -592,12 +603,16 @@ def _labels(docs: DataFrame, sets: DataFrame, nodes: DataFrame, words: int, perc
     top = sets.where("kind = 1").groupBy("bucket").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "bucket").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.array([(r.bucket, r.n) for r in top.collect()], np.int64).reshape(-1, 2))
     # 1. Tiles. Shards have a bounded size, so that their number follows the data.
-    volume = nodes.agg(F.sum(F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1), F.count(F.lit(1))).first()
+    share = (100 - percent) / 100 + 1 / SHARED
+    volume = nodes.agg(F.sum(F.col("n_shingles") * share + 1), F.count(F.lit(1))).first()
     shards = max(shard_count(spark, 1), int(volume[0] or 0) * _ENTRY.itemsize // SHARD_BYTES)
     blobs = docs.select("text").mapInArrow(_prefixes(words, percent, shards, frequent), "shard long, blob binary")
     partners = scratch.written(blobs.groupBy("shard").applyInArrow(_partners(percent), _NODE), "partners")
-    # Bitmaps, minima and arrays are made only for nodes that have a partner.
-    rows = scratch.written(nodes.select("sid", "row").join(partners.select("sid").distinct(), "sid"), "rows")
+    # Bitmaps, minima and arrays are made only for nodes that have a partner in tiles enough.
+    tiles = partners.groupBy("sid").agg(F.sum(F.octet_length("blob") / _ENTRY.itemsize).alias("tiles"))
+    smaller = F.ceil(F.col("n_shingles") * percent / 100)
+    enough = F.least(1 + F.floor(smaller / SHARED), F.ceil(smaller * percent / 100))
+    rows = scratch.written(nodes.join(tiles, "sid").where(F.col("tiles") >= enough).select("sid", "row"), "rows")
     texts = docs.join(_small(rows), "row").select("text", "sid")
     # Several rows may share the key: all columns follow from the set, so that any of them will do.
     made = texts.mapInArrow(_marks(words), _MARKS).groupBy("sid").agg(*[F.first(c).alias(c) for c in ("size", "bits", "short", "leaders", "data")])
