@@ -2,9 +2,10 @@
 
 Folding lower-cases, maps look-alike letters and digit substitutions to plain letters and punctuation to spaces. Lexicon
 terms are whole words or starts of words, learned from labelled rows: candidates come from toxic texts, their counts from
-all texts of the sample, and a term stays when the lower confidence bound of its log odds is high enough. A word counts once,
-with the largest weight of the terms that match it, unless it lies in an exception phrase. The sum, plain and normalised
-by length, goes through a logistic curve fitted on the same sample.
+all texts of the sample, and a term stays when the lower confidence bound of its log odds is high enough. Exception phrases
+are learned from the same rows: a matched word with its neighbours, where several clean texts have that phrase and no toxic one. A word
+counts once, with the largest weight of the terms that match it, unless it lies in an exception phrase. The sum, plain and
+normalised by length, goes through a logistic curve fitted on the same sample.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import one_text_each, text_blocks
+from weirflow.llm.common import Scratch, one_text_each, text_blocks
 
 #: Letters of other scripts that look like Latin ones, and substitutions in disguised words.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝαεικνορτυχ", "abekmhopctyxijsdqwaeikvoptux")
@@ -33,11 +34,13 @@ _FOLD |= LOOKALIKES | DISGUISES
 STARTS = (4, 5, 6)
 #: Rows that the lexicon is learned from, candidates whose counts are taken, terms that are kept.
 SAMPLE, CANDIDATES, TERMS = 20_000, 20_000, 4_000
+#: Clean texts that a phrase must be in to be an exception, and exceptions that are kept.
+PHRASE_TEXTS, PHRASES = 3, 2_000
 
 
 def fold(text: str) -> str:
-    """text with a space at each side of each word."""
-    return " " + text.lower().translate(_FOLD).lower() + " "
+    """text as folded words, with one space at each side of each word."""
+    return f" {' '.join(text.lower().translate(_FOLD).lower().split())} "
 
 
 def terms_of(folded: str) -> set[str]:
@@ -77,9 +80,8 @@ class Lexicon:
             self._automaton = made
         return self._automaton
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """The sum of the weights of matched words, plain, damped and by length."""
-        folded = fold(text)
+    def hits(self, folded: str) -> dict[int, float]:
+        """The weight of each matched word of a folded text, by the place of the space before it."""
         hits: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         if len(self.automaton):
@@ -91,7 +93,22 @@ class Lexicon:
                     hits[start] = weight
         if hits and spared:
             hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
-        total = sum(hits.values())
+        return hits
+
+    def phrases(self, folded: str) -> set[str]:
+        """Each matched word with its neighbours: both, the one before it, the one after it."""
+        words, found = folded.split(), set()
+        for start in self.hits(folded):
+            i = folded.count(" ", 0, start + 1) - 1
+            for a, b in ((i - 1, i + 2), (i - 1, i + 1), (i, i + 2)):
+                if a >= 0 and b <= len(words):
+                    found.add(f" {' '.join(words[a:b])} ")
+        return found
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The sum of the weights of matched words: whether there is one, damped, and by length."""
+        folded = fold(text)
+        total = sum(self.hits(folded).values())
         return float(total > 0), float(np.log1p(total)), float(np.log1p(100 * total / (folded.count(" ") + 10)))
 
     def score(self, text: str) -> float:
@@ -114,14 +131,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return beta
 
 
-def _count(wanted: frozenset[str] | None):
-    """Document counts of terms by label in a task: of toxic rows' terms, or of the wanted ones."""
+def _count(terms, wanted: frozenset[str] | None):
+    """Document counts of terms(folded text) by label in a task: of toxic rows' terms, or of the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for batch in text_blocks(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = terms_of(fold(text or ""))
+                found = terms(fold(text or ""))
                 counts[toxic].update(found if wanted is None else found & wanted)
         names = sorted(set(counts[0]) | set(counts[1]))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], ["term", "toxic", "clean"])
@@ -137,21 +154,27 @@ def _words_digest(text_column: str):
 def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), sample: int = SAMPLE) -> Lexicon:
     """A lexicon from labelled rows: labels has doc_id and toxic (0 or 1), at most sample of them are used, by a hash of doc_id.
 
-    Copies with one label count once, so that a family of copies is no evidence by its size; the row of the least doc_id stands for them.
+    Copies with one label count once, so that a family of copies is no evidence by its size; the row of the least doc_id stands for them. exceptions are
+    phrases besides the learned ones.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most sample rows, one for each doc_id.
     rows = one_text_each(docs.join(F.broadcast(known), "doc_id"), "doc_id", "toxic").groupBy(_words_digest("text"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("least"))
-    rows = rows.select("least.text", "toxic").repartition(8).persist()
+    with Scratch(documents.sparkSession) as scratch:
+        return _learned(scratch.written(rows.select("least.text", "toxic"), "labelled"), exceptions)
+
+
+def _learned(rows: DataFrame, exceptions: tuple[str, ...]) -> Lexicon:
+    """A lexicon from a written table of text and toxic."""
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     least = max(4, bad // 200)
     schema = "term string, toxic long, clean long"
-    top = rows.where("toxic = 1").mapInArrow(_count(None), schema).groupBy("term").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+    top = rows.where("toxic = 1").mapInArrow(_count(terms_of, None), schema).groupBy("term").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
     wanted = frozenset(r.term for r in top.orderBy(F.col("toxic").desc(), "term").limit(CANDIDATES).collect())
-    counted = rows.mapInArrow(_count(wanted), schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).collect()
+    counted = rows.mapInArrow(_count(terms_of, wanted), schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).collect()
     weights = {}
     for r in counted:
         odds = np.log((r.a + 0.5) / (bad - r.a + 0.5)) - np.log((r.b + 0.5) / (good - r.b + 0.5))
@@ -159,7 +182,11 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
         if odds - 2 * spread > 1.0 and r.a >= 4 * r.b * (bad + 1) / (good + 1):
             weights[r.term] = float(odds - spread)
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
-    lexicon = Lexicon(weights, [f" {' '.join(fold(e).split())} " for e in exceptions], ())
+    spared = [f" {' '.join(fold(e).split())} " for e in exceptions]
+    plain = Lexicon(weights, [], ())
+    phrases = rows.mapInArrow(_count(plain.phrases, None), schema).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    learned = phrases.where((F.col("a") == 0) & (F.col("b") >= PHRASE_TEXTS)).orderBy(F.col("b").desc(), "term").limit(PHRASES).collect()
+    lexicon = Lexicon(weights, sorted({*spared, *(r.term for r in learned)}), ())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
@@ -167,7 +194,6 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in values], pa.float64()) for k in range(3)] + [batch.column("toxic")], ["a", "b", "c", "toxic"])
 
     points = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toPandas()
-    rows.unpersist()
     x = np.column_stack([np.ones(len(points)), points[["a", "b", "c"]].to_numpy(float)])
     y = points["toxic"].to_numpy(float)
     curve = fit_logistic(x, y) if len(set(y)) == 2 else np.array([-3.0 if not y.any() else 3.0, 0.0, 0.0, 0.0])
