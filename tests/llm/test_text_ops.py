@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
 from weirflow.llm.queries import tokenizer_path
@@ -138,6 +139,33 @@ def test_best_fit_keeps_every_constraint():
         assert ((sums <= np.array(capacity) + 1e-6).all(axis=1) | alone).all()
 
 
+def test_each_resource_decides_on_bins():
+    """Two bins with the same tokens left: the norm's other weights choose the one with fewer documents, or with less cost, left."""
+    first = np.array([[300, 1], [150, 1], [150, 1]], float)  # one bin of a single piece, one of two
+    demand = lambda rows: np.column_stack([rows, rows[:, 0] ** 2])
+    rows = demand(np.r_[[[900.0, 1]], [[700, 1]], [[200, 1]], [[50, 1]]])  # 900 | 700 + 200 | the last fits both
+    capacity = np.array([1000, 4, 1_000_000], float)
+    alone = packing.vector_best_fit(rows, capacity, np.array([1.0, 0.0, 0.0]))
+    assert alone.tolist() == [0, 1, 1, 0]
+    assert packing.vector_best_fit(rows, capacity, np.array([1.0, 1.0, 0.0])).tolist() == [0, 1, 1, 1]  # the bin with more documents is nearer to full
+    assert packing.vector_best_fit(rows, capacity, np.array([1.0, 0.0, 1.0])).tolist() == [0, 1, 1, 0]  # the one with more cost
+    assert packing.vector_best_fit(demand(first), np.array([1000, 2, 1e6]), np.array(packing.WEIGHTS)).tolist() == [0, 0, 1]  # two documents at most
+
+
+def test_other_rules_of_a_tokenizer_are_left_to_it(tmp_path):
+    import json
+
+    with open(tokenizer_path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    assert packing.plain_rules(spec)
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    words = packing.Words(str(tmp_path / "cased.json"))
+    assert words.merge is None
+    for t in ("Hello World", "plain words."):
+        assert words.encode([t])[0] == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_word_encoder_agrees_with_the_tokenizer(rows):
     words = packing.Words(tokenizer_path("word_bpe_49k.json"))
     assert words.merge is not None
@@ -179,12 +207,46 @@ def test_mixing(docs, rows, odd, empty):
         assert 0 <= g.taken <= 2 * g.size
         taken[r[3]] += g.taken
     for s, t in targets.items():
-        assert abs(taken[s] - t) <= max(128, 0.05 * t), s
+        assert abs(taken[s] - t) <= max(48, 0.02 * t), s
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
     mixed = mixing.mixed(docs)
     assert mixed.columns == docs.columns
-    words = sum(len(WORD.findall(r.text or "")) for r in mixed.collect())
-    assert words == sum(g.taken for g in got.values())
+    by_doc = defaultdict(list)
+    for r in mixed.collect():
+        by_doc[r.doc_id].append(r)
+    for r in rows:
+        texts, words = [x.text for x in by_doc[r[0]]], WORD.findall(r[1] or "")
+        assert sum(len(WORD.findall(t)) for t in texts) == got[r[0]].taken
+        assert all(x.n_chars == len(x.text) and x.source == r[3] for x in by_doc[r[0]])
+        left = [t for t in texts if t != r[1]]  # the words of chosen blocks, in their order
+        assert len(left) <= 1
+        at = iter(words)
+        assert all(w in at for t in left for w in WORD.findall(t))
+    twin = odd.withColumn("plan", F.lit("x")).withColumn("plan_doc", F.lit(1)).withColumn("plan_size", F.lit(2))
+    again = mixing.mixed(twin)
+    assert again.columns == twin.columns and again.count() > 0 and mixing.mixed(empty).count() == 0
+    wide = mixing.mixed(docs, block=64, shard=300).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    assert all(abs(r.n - targets[r.source]) <= 32 + 64 * (1 + by_source[r.source] / 300) for r in wide)
+
+
+def test_blocks_of_sources_go_by_highest_quotients(docs, rows):
+    """Blocks that all sources still lack are dealt one by one; the shards of a source get all of its blocks."""
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    by_source = defaultdict(int)
+    for r in rows:
+        by_source[r[3]] += size[r[0]]
+    targets = filled(dict(by_source), 1.5, 2.0, (3, 1, 2))
+    plan = mixing._placed(mixing._sized(docs), 1.5, 2.0, 64, 400, 7).collect()
+    rest = {s: targets[s] - int(targets[s] // by_source[s]) * by_source[s] for s in by_source}
+    key = {r.source: r.key for r in plan}
+    won = sainte_lague({key[s]: v for s, v in rest.items() if v > 1e-6}, round(sum(rest.values()) / 64))
+    quota = {(r.key, r.part): r.quota for r in plan}
+    for k, n in won.items():
+        assert sum(q for (a, _), q in quota.items() if a == k) == n
+    chosen = {(r.key, r.part): sum((k * mixing._STEP + r.turn) % r.blocks < r.quota for k in range(r.blocks)) for r in plan if r.blocks}
+    assert all(n == min(quota[p], next(r.blocks for r in plan if (r.key, r.part) == p)) for p, n in chosen.items())
+    for r in plan:
+        assert r.taken == r.rounds * r.size + sum(b - a for a, b in mixing.chosen_words(*[r[c] for c in mixing._PLAN]))
 
 
 def sainte_lague(weights, seats):
@@ -244,6 +306,54 @@ def test_lexicon_folds_copies_only(spark):
     assert " copied " not in lexicon.weights and " the " not in lexicon.weights
 
 
+def plain_score(lexicon, text):
+    """A score by regular expressions and sums, without the automaton."""
+    folded = toxicity.fold(text)
+    words = folded.split()
+    spared = [False] * len(words)
+    for phrase in lexicon.exceptions:
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                spared[i : i + len(p)] = [True] * len(p)
+    total = 0.0
+    for w, s in zip(words, spared):
+        own = [v for t, v in lexicon.weights.items() if (t == f" {w} " if t.endswith(" ") else f" {w}".startswith(t))]
+        total += 0.0 if s else max(own, default=0.0)
+    z = sum(c * v for c, v in zip(lexicon.curve, (1.0, float(total > 0), math.log1p(total), math.log1p(100 * total / (len(words) + 11)))))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_scores_by_brute_force(corpus):
+    """held_out, score and predicted of every row, by plain code and from the labels outside the fold alone."""
+    from pyspark.sql import functions as F
+
+    docs, marks = corpus
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    turned = marks.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    lexicon = toxicity.learn(docs, marks.where(~out))
+    got, texts = by_id(toxicity.toxicity(docs, turned)), {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts)
+    for d, g in got.items():
+        assert g.held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+        assert g.score == pytest.approx(plain_score(lexicon, texts[d] or ""))
+        assert g.predicted == int(g.score >= 0.7)
+
+
+def test_exception_phrases_are_learned(spark):
+    """A word of insults that clean texts have in a fixed phrase counts elsewhere only."""
+    rng = __import__("random").Random(2)
+    filler = lambda: " ".join(f"f{rng.randrange(400)}" for _ in range(12))
+    rows = [(i, f"{filler()} you zorp {filler()}", 1) for i in range(120)] + [(200 + i, filler(), 0) for i in range(700)]
+    rows += [(1000 + i, f"{filler()}, the zorp museum. {filler()}", 0) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert " zorp " in lexicon.weights and " the zorp museum " in lexicon.exceptions and " you zorp " not in lexicon.exceptions
+    low, high = lexicon.score("we saw the  Zorp museum today"), lexicon.score("you z0rp and the zorp museum")
+    assert low == lexicon.score("we saw the old museum today") and low < 0.3 < 0.7 < high
+    assert lexicon.score("the zorp museum") == pytest.approx(plain_score(lexicon, "the zorp museum"))
+
+
 def test_lexicon_sees_through_disguises_and_spares_exceptions():
     lexicon = toxicity.Lexicon({" stupid ": 3.0, " lowei": 2.0}, [" not stupid "], (-3.0, 4.0, 0.0, 0.0))
     hits = lambda t: lexicon.features(t)[0]

@@ -26,6 +26,9 @@ CACHE = 150_000
 #: Pieces that one group packs: a group leaves about one bin that is not full.
 GROUP = 8_000
 
+#: Capacities of a sequence besides its tokens, and the weights of tokens, documents and attention cost in the norm of what stays free.
+MOST_DOCUMENTS, WEIGHTS = 256, (1.0, 0.05, 0.05)
+
 _encoders: dict[str, "Words"] = {}
 
 
@@ -33,6 +36,18 @@ _encoders: dict[str, "Words"] = {}
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([-!\"#$%&()*+,./:;<=>?@^_|~]*)")
 
 
+#: The steps before the merges for which _PLAIN and lower case say the same; with others the tokenizer encodes every word.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def plain_rules(spec: dict) -> bool:
+    """Whether a tokenizer's file has just the steps that _PLAIN stands for."""
+    normal, before = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    return normal.get("normalizers") == _NORMAL and before.get("pretokenizers") == [_SPLIT, _BYTES]
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write bytes with: printable bytes as themselves, the others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -48,7 +63,7 @@ def merge_encoder(spec: dict):
     """
     model, letters = spec.get("model", {}), _byte_letters()
     mark = model.get("end_of_word_suffix")
-    if model.get("type") != "BPE" or not mark or model.get("byte_fallback") or model.get("dropout"):
+    if not plain_rules(spec) or model.get("type") != "BPE" or not mark or any(model.get(k) for k in ("byte_fallback", "dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")):
         return None
     vocab = model["vocab"]
     special = {t["content"] for t in spec.get("added_tokens", ())}
@@ -205,15 +220,16 @@ def pack(
     documents: DataFrame,
     path: str,
     capacity: int = 4096,
-    most_documents: int | None = None,
+    most_documents: int | None = MOST_DOCUMENTS,
     most_cost: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     documents needs doc_id and text; other columns are ignored. A null text is empty and gives a piece of the end id alone.
     Rows that repeat a doc_id are packed each. most_documents and most_cost (the sum of squared piece lengths) bound a
-    sequence besides its tokens; by default they are what the token capacity implies. path is a tokenizers file that every
+    sequence besides its tokens; where they are None they are what the token capacity implies. A bin is chosen by the norm of all three
+    residuals, weighted by weights, so that documents and cost decide between bins that tokens leave alike. path is a tokenizers file that every
     executor can read. Runs agree: groups are dealt and packed in an order that the pieces alone fix. An empty table
     gives an empty result.
     """
