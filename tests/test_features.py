@@ -34,7 +34,7 @@ def flows(spark):
 
 
 def test_all_features_match_a_simulation(flows):
-    rows = [r.asDict() for r in flows.orderBy("ts_us", "seq").collect()]
+    rows = [r.asDict() for r in flows.orderBy("ts_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "seq").collect()]
     assert len(rows) == 260
     want = simulate(rows)
     got = {r.seq: r for r in features(flows).collect()}
@@ -51,3 +51,19 @@ def test_truth_of_flags_follows_json_types(spark):
     got = {r.seq: r for r in eve.to_flows(eve.parsed(df)).collect()}
     assert [got[i].syn for i in range(len(cases))] == [w for _, w in cases]
     assert all(got[i].has_tcp == 1 for i in got) and all(got[i].tcp_pkts == 1 for i in got)
+
+
+@pytest.mark.parametrize("slice_us", [1, 900_000_000])
+def test_hot_keys_in_slices_of_time_have_the_same_features(flows, slice_us):
+    """Every source and destination is hot here, and rows lie on both sides of many slices."""
+    whole, cut = ({r.seq: r for r in x.collect()} for x in (features(flows), features(flows, 20, slice_us)))
+    assert len(cut) == len(whole) == 260
+    assert all(tuple(cut[k][n] for n in NAMES) == pytest.approx(tuple(whole[k][n] for n in NAMES)) for k in whole)
+
+
+def test_flows_of_one_time_are_taken_by_flow_id(spark):
+    """Not in the order of lines: ties go by id as text, then by endpoints."""
+    lines = [event(i, iso(0), "a", "b", 80, 0, 0, 0, None) for i in (7, 30, 4, 12)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "seq long, value string")
+    got = {r.flow_id: r.flow_rate_src_10s for r in features(eve.to_flows(eve.parsed(df))).collect()}
+    assert got == {"12": 0.0, "30": 0.1, "4": 0.2, "7": 0.3}

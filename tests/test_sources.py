@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from weirflow.operators import sampling
+from weirflow.operators import joins, packs, sampling
 from weirflow.sources import eve, sinks
 
 
@@ -53,7 +53,9 @@ def test_pretty_printed_files(spark, tmp_path):
     (tmp_path / "p.json").write_text("\n".join(json.dumps(flow(i, "2020-01-01T00:00:00Z"), indent=2) for i in range(3)))
     (tmp_path / "l.json").write_text("\n".join(json.dumps(flow(i, "2020-01-01T00:00:00Z")) for i in range(3)))
     assert not eve.is_line_wise(spark, str(tmp_path / "p.json")) and eve.is_line_wise(spark, str(tmp_path / "l.json"))
-    assert eve.read_any(spark, str(tmp_path / "l.json"), ("flow",)).count() == 3
+    for name in ("p", "l"):
+        events = eve.read_any(spark, str(tmp_path / f"{name}.json"), ("flow",)).orderBy("seq").collect()
+        assert [r.event.flow_id for r in events] == ["0", "1", "2"], name
 
 
 def test_labels_and_scoring_tables(spark, tmp_path):
@@ -97,7 +99,56 @@ def test_flat_records_ids_and_scans(spark):
     assert sampling.is_in_order(scan, "ts_us", "seq").first()[0]
 
 
+def netflow(i, at, **body):
+    return json.dumps({"event_type": "netflow", "timestamp": at, "src_ip": "10.0.0.1", "src_port": 5, "dest_ip": "10.0.0.2", "dest_port": 80, "netflow": body})
+
+
 def test_netflow(spark):
-    line = json.dumps({"event_type": "netflow", "timestamp": 3, "src_ip": "a", "dest_ip": "b", "netflow": {"pkts_per_sec": 4, "min_iat": "x"}})
-    r = eve.netflow_metrics(eve.parsed(spark.createDataFrame([(0, line)], "seq long, value string"))).collect()[0]
-    assert (r.ts_us, r.pkt_rate, r.iat_min, r.pair) == (3_000_000, 4.0, 0.0, "a|0|b|0|TCP")
+    lines = [netflow(0, 3, pkt_per_sec=4, iatmin="x", inter_arrival_min=2), netflow(1, 3, other=1), netflow(2, 4, pkt_rate="nan", pktrate=7)]
+    got = eve.netflow_metrics(eve.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"))).orderBy("seq").collect()
+    assert [(r.seq, r.ts_us, r.pkt_rate, r.iat_min, r.iat_max, r.flow_key) for r in got] == [(0, 3_000_000, 4.0, 2.0, None, "10.0.0.1:5-10.0.0.2:80-TCP_0"), (2, 4_000_000, 7.0, None, None, "10.0.0.1:5-10.0.0.2:80-TCP_0")]
+
+
+def test_flows_take_the_pace_of_their_latest_record(spark):
+    lines = [netflow(0, 2, pkt_rate=9, iat_max=1.5), json.dumps(flow("a", 3)), netflow(2, 4, byte_rate=8), json.dumps(flow("b", 4.5)), json.dumps(flow("c", 1)), json.dumps(flow("d", 7))]
+    events = eve.parsed(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"))
+    flows = eve.to_flows(events.where("lower(event.event_type) = 'flow'"))
+    got = {r.flow_id: (r.pkt_rate, r.byte_rate, r.iat_max) for r in packs.enriched(flows, eve.netflow_metrics(events)).collect()}
+    assert got == {"a": (9.0, 15.0, 1.5), "b": (0.0, 8.0, 0.0), "c": (0.0, 15.0, 0.0), "d": (0.0, 15.0, 0.0)}
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    """The second file is the largest, which is read first, and its splits are many; names hold spaces."""
+    (tmp_path / "a 1.json").write_text("a1\na2\n")
+    (tmp_path / "b 2.json").write_text("".join(f"b{k}\n" for k in range(5000)))
+    (tmp_path / "c.json").write_text("c1\nc2")
+    (tmp_path / "c.json0").write_text("d\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = eve.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r.seq for r in rows}) == len(rows)
+    assert [r.value for r in sorted(rows, key=lambda r: r.seq)] == ["a1", "a2", *[f"b{k}" for k in range(5000)], "c1", "c2", "d"]
+
+
+def test_first_events_and_last_labels_over_files(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text(json.dumps(flow("first", 1)) + "\n")
+    (tmp_path / "log" / "b.json").write_text("".join(json.dumps(flow(f"b{k}", 1)) + "\n" for k in range(400)))
+    first = eve.read_events(spark, str(tmp_path / "log"), ("flow",), most=2)
+    assert sorted(r.i for r in first.select(F.col("event.flow_id").alias("i")).collect()) == ["b0", "first"]
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "1.csv").write_text("flow_id,label\nx,0\n")
+    (tmp_path / "labels" / "2.csv").write_text("flow_id,label\n" + "".join(f"y{k},1\n" for k in range(300)) + "x,1\n")
+    labels = eve.read_labels(eve.read_csv(spark, str(tmp_path / "labels")))
+    last = joins.last_wins(labels, "identity_key").where("identity_key = 'x'").collect()
+    assert [(r.identity_key, r.binary_label) for r in last] == [("x", 1)]
+
+
+def test_lines_that_are_no_json_objects_are_left_out(spark):
+    lines = ['{"event_type": "flow"}', '{"event_type": "flow"', "{'event_type': 'flow'}", '[{"event_type": "flow"}]', "", "{}", "null", '"flow"', '{"event_type": "flow", "flow": {"age": NaN}}']
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "seq long, value string")
+    assert sorted(r.seq for r in eve.parsed(df).collect()) == [0, 5, 8]
+    assert "_not_json" not in eve.parsed(df).columns

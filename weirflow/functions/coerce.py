@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of a missing id.
+#: Spellings of a missing id.
 NO_ID = ("", "nan", "none")
-#: Spellings of a missing string in a table column.
+#: Spellings of a missing string in a table column.
 NO_TEXT = ("nan", "none", "<na>", "nat", "null")
 
 
@@ -78,6 +78,7 @@ def truthy(value: Column) -> Column:
     return text.isNotNull() & ~F.coalesce(empty, F.lit(False))
 
 
+#: Spellings of the two labels.
 BENIGN_WORDS = ("0", "0.0", "false", "no", "benign", "normal", "negative", "clean", "safe")
 ATTACK_WORDS = ("1", "1.0", "true", "yes", "attack", "malicious", "malware", "positive", "bad")
 
@@ -90,7 +91,7 @@ def binary_label(value: Column, strict: bool = True) -> Column:
     return F.when(text.isin(*BENIGN_WORDS), 0).when(text.isin(*ATTACK_WORDS), 1).when(number.isNotNull(), (number != 0).cast("int")).otherwise(bad)
 
 
-#: Labels that stand for benign traffic in different data sets.
+#: Labels that stand for benign traffic in different data sets.
 BENIGN_LABELS = ("benign", "normal", "background", "0")
 
 
@@ -100,7 +101,7 @@ def plain_label(value: Column) -> Column:
     return F.when(text.isin(*BENIGN_LABELS), F.lit("benign")).otherwise(text)
 
 
-#: Attack families, in the order in which their marks are looked for.
+#: Attack families, in the order in which their marks are looked for.
 FAMILIES = (
     ("Bot", ("bot",)),
     ("Backdoor", ("backdoor",)),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.operators.windows import prior_distinct, prior_sum
+from weirflow.operators.packs import distinct_with_self
+from weirflow.operators.windows import prior_sum
 
 SECOND = 1_000_000
 
@@ -37,17 +37,6 @@ class Rules:
     slow_ports: int = 30
 
 
-def _with_self(df: DataFrame, name: str, value: str, keys: Sequence[str], span: float) -> DataFrame:
-    """df with the number of distinct values in the window of each row, its own included.
-
-    That is one more than before it, unless its value is there already: its last row of that value is inside the span.
-    """
-    span_us = int(span * SECOND)
-    out = prior_distinct(df, name, value, keys, span_us)
-    last = F.max("ts_us").over(Window.partitionBy(*keys, value).orderBy("ts_us", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    return out.withColumn(name, F.col(name) + F.when(F.coalesce(last >= F.col("ts_us") - span_us, F.lit(False)), 0).otherwise(1))
-
-
 def measured(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """df (seq, ts_us, src_ip, dst_ip, dst_port, risk) with the counts that the rules look at, the row itself included."""
     key, us = ("src_ip", "dst_ip", "dst_port"), lambda s: int(s * SECOND)
@@ -55,11 +44,11 @@ def measured(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     out = df.withColumn("suspicious", prior_sum(risky, key, us(rules.window)) + risky)
     out = out.withColumn("dst_flows", prior_sum(F.lit(1), ("dst_ip",), us(rules.ddos_window)) + 1)
     out = out.withColumn("src_flows", prior_sum(F.lit(1), ("src_ip",), us(rules.burst_window)) + 1)
-    out = _with_self(out, "dst_sources", "src_ip", ("dst_ip",), rules.ddos_window)
-    out = _with_self(out, "dst_ports", "dst_port", ("dst_ip",), rules.fanout_window)
-    out = _with_self(out, "src_ports", "dst_port", ("src_ip",), rules.scan_window)
-    out = _with_self(out, "src_hosts", "dst_ip", ("src_ip",), rules.sweep_window)
-    return _with_self(out, "src_ports_slow", "dst_port", ("src_ip",), rules.slow_window)
+    out = distinct_with_self(out, "dst_sources", "src_ip", ("dst_ip",), us(rules.ddos_window))
+    out = distinct_with_self(out, "dst_ports", "dst_port", ("dst_ip",), us(rules.fanout_window))
+    out = distinct_with_self(out, "src_ports", "dst_port", ("src_ip",), us(rules.scan_window))
+    out = distinct_with_self(out, "src_hosts", "dst_ip", ("src_ip",), us(rules.sweep_window))
+    return distinct_with_self(out, "src_ports_slow", "dst_port", ("src_ip",), us(rules.slow_window))
 
 
 def _triggers(rules: Rules) -> dict[str, tuple[str, str, str]]:

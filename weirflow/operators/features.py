@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weirflow.functions.stats import EPS, entropy_of_counts
-from weirflow.operators.sweep import MICRO, ByDestination, ByPair, ByService, BySource, Sweep
-from weirflow.operators.windows import swept, with_prior
+from weirflow.operators.sweep import MICRO, ByDestination, BySource, Sweep
+from weirflow.operators.windows import hot_keys, spread, swept, with_prior
 
 #: The features in their order, each with its upper bound (None: none). Their lower bound is 0, that of AUTOCORRELATION -1.
 AUTOCORRELATION = "iat_autocorr_srcdst_300s"
@@ -63,18 +63,29 @@ NAMES = tuple(n for n, _ in FEATURES)
 DAY = 86_400 * MICRO
 
 
-def _swept(df: DataFrame, sweep: type[Sweep]) -> DataFrame:
-    added = [StructField(n, DoubleType()) for n in sweep.names]
-    schema = StructType([*df.schema.fields, *added])
-    return swept(df, sweep.keys, schema, lambda: _as_double(sweep()))
+#: Flows of one time are processed in this order.
+TURN = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "seq")
+
+
+def _turn(df: DataFrame) -> list[str]:
+    return [c for c in TURN if c in df.columns]
 
 
-def _as_double(step: Sweep):
-    def run(batch):
-        out = step(batch)
-        return out.astype({n: "float64" for n in step.names})
+class _Sliced:
+    """A sweep whose keys are those of another and the slice of time."""
 
-    return run
+    def __init__(self, sweep: Sweep):
+        self.sweep = sweep
+        sweep.keys = (*sweep.keys, "slice")
+
+    def batch(self, batch):
+        return self.sweep.batch(batch)
+
+
+def _swept(df: DataFrame, sweep: type[Sweep]) -> DataFrame:
+    added = [StructField(n, DoubleType()) for n in sweep.names]
+    schema = StructType([*df.schema.fields, *added])
+    return swept(df, (*sweep.keys, "slice"), schema, lambda: _Sliced(sweep()), seq=_turn(df))
 
 
 def sane(value: Column, name: str, high: float | None) -> Column:
@@ -92,53 +103,67 @@ def sane_all(df: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
     return df.withColumns({n: sane(F.col(n), n, bounds[n]) for n in names if n in df.columns})
 
 
-def additive(flows: DataFrame) -> DataFrame:
-    """Counts and sums of the windows, by running sums alone: two sorts, by source (and destination in it) and by destination."""
+def by_source(flows: DataFrame, hot: DataFrame | None = None, slice_us: int = 3600 * MICRO) -> DataFrame:
+    """flows with the measures of their source and pair: running sums, and a sweep for what needs a window's histogram or gaps.
+
+    All share the shuffle by source (and slice). With hot (sources), their rows are cut into slices of time: of a day for the sums over a day,
+    and of slice_us for all others.
+    """
     one, flag = F.lit(1), lambda c: F.when(c, 1).otherwise(0)
-    src, dst, pair = ("src_ip",), ("dst_ip",), ("src_ip", "dst_ip")
+    src, pair = ("src_ip", "slice"), ("src_ip", "dst_ip", "slice")
     s10, s60, s300 = 10 * MICRO, 60 * MICRO, 300 * MICRO
     dur, fwd, rev, total = (F.col(c) for c in ("duration", "fwd_bytes", "rev_bytes", "total_bytes"))
     micro = (F.col("rst") > 0) & (dur <= 0.5) & (total <= 150) & (fwd <= 120) & (rev <= 120)
     slow = (dur > 120) & (total / (dur + EPS) < 64)
-    return with_prior(
-        flows,
-        {
-            "n_s10": (one, src, s10),
-            "n_s60": (one, src, s60),
-            "n_s300": (one, src, s300),
-            "n_s24": (one, src, DAY),
-            "syn_60": (F.col("syn"), src, s60),
-            "ack_60": (F.col("ack"), src, s60),
-            "rst_60": (F.col("rst"), src, s60),
-            "fin_60": (F.col("fin"), src, s60),
-            "pkts_60": (F.col("tcp_pkts"), src, s60),
-            "ack_300": (flag(F.col("ack") > 0), src, s300),
-            "short_300": (flag(dur < 1), src, s300),
-            "slow_300": (flag(slow), src, s300),
-            "bytes_300": (total, src, s300),
-            "small_60": (flag((rev < 128) & (fwd > 256)), src, s60),
-            "micro_60": (flag(micro), src, s60),
-            "rst_ack_60": (flag((F.col("ack") > 0) & (F.col("rst") > 0)), src, s60),
-            "n_p24": (one, pair, DAY),
-            "bytes_p24": (total, pair, DAY),
-            "n_p60": (one, pair, s60),
-            "n_d10": (one, dst, s10),
-            "n_d60": (one, dst, s60),
-        },
-    )
-
-
-def holistic(flows: DataFrame) -> DataFrame:
-    """What needs a window's histogram or gaps: one sweep for each key."""
-    out = flows
-    for sweep in (BySource, ByPair, ByDestination, ByService):
-        out = _swept(out, sweep)
-    return out
-
-
-def features(flows: DataFrame) -> DataFrame:
-    """flows (see sources.eve.to_flows) with the 45 features, within their bounds."""
-    df = holistic(additive(flows))
+    day = {"n_s24": (one, src, DAY), "n_p24": (one, pair, DAY), "bytes_p24": (total, pair, DAY)}
+    short = {
+        "n_s10": (one, src, s10),
+        "n_s60": (one, src, s60),
+        "n_s300": (one, src, s300),
+        "syn_60": (F.col("syn"), src, s60),
+        "ack_60": (F.col("ack"), src, s60),
+        "rst_60": (F.col("rst"), src, s60),
+        "fin_60": (F.col("fin"), src, s60),
+        "pkts_60": (F.col("tcp_pkts"), src, s60),
+        "ack_300": (flag(F.col("ack") > 0), src, s300),
+        "short_300": (flag(dur < 1), src, s300),
+        "slow_300": (flag(slow), src, s300),
+        "bytes_300": (total, src, s300),
+        "small_60": (flag((rev < 128) & (fwd > 256)), src, s60),
+        "micro_60": (flag(micro), src, s60),
+        "rst_ack_60": (flag((F.col("ack") > 0) & (F.col("rst") > 0)), src, s60),
+        "n_p60": (one, pair, s60),
+    }
+    out, turn = flows, _turn(flows)
+    if hot is not None:  # a slice for each span
+        out = with_prior(spread(out, "src_ip", hot, DAY, DAY), day, seq=turn).where("not context").drop("slice", "context")
+        day = {}
+    out = spread(out, "src_ip", hot, s300, slice_us).repartition("src_ip", "slice")
+    out = with_prior(out, day | short, seq=turn)
+    return _swept(out, BySource).where("not context").drop("slice", "context")
+
+
+def by_destination(flows: DataFrame, hot: DataFrame | None = None, slice_us: int = 3600 * MICRO) -> DataFrame:
+    """flows with the measures of their destination, as by_source()."""
+    dst, s60 = ("dst_ip", "slice"), 60 * MICRO
+    out = spread(flows, "dst_ip", hot, s60, slice_us).repartition("dst_ip", "slice")
+    out = with_prior(out, {"n_d10": (F.lit(1), dst, 10 * MICRO), "n_d60": (F.lit(1), dst, s60)}, seq=_turn(flows))
+    return _swept(out, ByDestination).where("not context").drop("slice", "context")
+
+
+def measured(flows: DataFrame, hot_rows: int | None = None, slice_us: int = 3600 * MICRO) -> DataFrame:
+    """flows with all that the features are made of."""
+    hot = lambda key: None if hot_rows is None else hot_keys(flows, key, hot_rows)
+    return by_destination(by_source(flows, hot("src_ip"), slice_us), hot("dst_ip"), slice_us)
+
+
+def features(flows: DataFrame, hot_rows: int | None = None, slice_us: int = 3600 * MICRO) -> DataFrame:
+    """flows (see sources.eve.to_flows) with the 45 features, within their bounds.
+
+    Flows of one time are taken in the order of TURN. With hot_rows, sources and destinations with more rows than that are cut into slices of time,
+    so that one scanner is no single task; their rows are counted first, so that flows should then be a table.
+    """
+    df = measured(flows, hot_rows, slice_us)
     c = F.col
     n60, n300 = c("n_s60"), c("n_s300")
     share = lambda a, b: a / (b + EPS)

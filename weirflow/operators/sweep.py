@@ -6,6 +6,7 @@ import math
 from collections import Counter, deque
 
 import pandas as pd
+import pyarrow as pa
 
 EPS = 1e-6
 MICRO = 1_000_000
@@ -120,17 +121,29 @@ class Sweep:
         """The features of a row from the rows before it; then the row is taken in."""
         raise NotImplementedError
 
-    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
-        keys = list(zip(*(batch[k].tolist() for k in self.keys))) if len(batch) else []
-        columns = [batch[c].tolist() for c in ("ts_us", *self.reads)]
+    def measures(self, keys: list[tuple], columns: list[list]) -> list[tuple]:
+        """The features of rows in order, given the values of their keys and of ts_us and what is read."""
         rows = []
         for key, *values in zip(keys, *columns):
             if key != self.key:
                 self.key = key
                 self.start()
             rows.append(self.row(*values))
-        out = pd.DataFrame(rows, columns=list(self.names))
-        return pd.concat([batch.reset_index(drop=True), out], axis=1) if len(batch) else batch.reindex(columns=[*batch.columns, *self.names])
+        return rows
+
+    def batch(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """An Arrow batch with the features; its own columns are passed on as they are."""
+        keys = list(zip(*(batch.column(k).to_pylist() for k in self.keys)))
+        rows = self.measures(keys, [batch.column(c).to_pylist() for c in ("ts_us", *self.reads)])
+        made = [pa.array([r[k] for r in rows], pa.float64()) for k in range(len(self.names))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *self.names])
+
+    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
+        if not len(batch):
+            return batch.reindex(columns=[*batch.columns, *self.names])
+        keys = list(zip(*(batch[k].tolist() for k in self.keys)))
+        rows = self.measures(keys, [batch[c].tolist() for c in ("ts_us", *self.reads)])
+        return pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=list(self.names))], axis=1)
 
 
 class Active:
@@ -159,11 +172,11 @@ def end_us(ts: int, seconds: float) -> int:
 
 
 class BySource(Sweep):
-    """Features over 60 and 300 seconds of one source."""
+    """Features over 60 and 300 seconds of one source, and of its pairs with destinations."""
 
     keys = ("src_ip",)
     reads = ("dst_ip", "dst_port", "total_bytes", "duration")
-    names = ("h_active_src", "h_dst_distinct", "h_dport_distinct", "h_dst_entropy", "h_dport_entropy", "h_iat_cv_60", "h_mode", "h_pair_distinct", "h_dport_most", "h_dport_most_60")
+    names = ("h_active_src", "h_dst_distinct", "h_dport_distinct", "h_dst_entropy", "h_dport_entropy", "h_iat_cv_60", "h_mode", "h_pair_distinct", "h_dport_most", "h_dport_most_60", "h_pair_iat_cv", "h_pair_autocorr")
 
     def __init__(self, short: int = 60 * MICRO, long: int = 300 * MICRO, active: int = 10 * MICRO):
         super().__init__()
@@ -173,6 +186,7 @@ class BySource(Sweep):
         self.long_rows, self.short_rows = deque(), deque()
         self.dst, self.dport, self.pair, self.size, self.dport_60 = (Histogram() for _ in range(5))
         self.gaps, self.active = Gaps(), Active(self.active_span)
+        self.pairs: dict[str, Gaps] = {}
 
     def _mode(self) -> int:
         if not self.size.n:
@@ -182,27 +196,35 @@ class BySource(Sweep):
             return next(v for v, c in self.size.counts.items() if c == most)
         return next(r[3] for r in self.long_rows if self.size.counts[r[3]] == most)
 
-    def row(self, ts, dst, dport, total, duration) -> tuple:
+    def _leave(self, ts: int) -> None:
         while self.long_rows and self.long_rows[0][0] < ts - self.long:
             _, d, p, s = self.long_rows.popleft()
             self.dst.remove(d), self.dport.remove(p), self.pair.remove((d, p)), self.size.remove(s)
+            self.pairs[d].remove()
+            if not self.pairs[d].times:
+                del self.pairs[d]
         while self.short_rows and self.short_rows[0][0] < ts - self.short:
             self.dport_60.remove(self.short_rows.popleft()[1])
             self.gaps.remove()
+
+    def row(self, ts, dst, dport, total, duration) -> tuple:
+        self._leave(ts)
+        own = self.pairs.get(dst)
         out = (self.active.count(ts), self.dst.distinct, self.dport.distinct, self.dst.entropy(), self.dport.entropy(), self.gaps.variation(), self._mode(), self.pair.distinct, self.dport.most, self.dport_60.most)
+        out += (own.variation(), own.autocorrelation()) if own else (0.0, 0.0)
         size = int(total // 128)
         self.long_rows.append((ts, dst, dport, size)), self.short_rows.append((ts, dport))
         self.dst.add(dst), self.dport.add(dport), self.pair.add((dst, dport)), self.size.add(size), self.dport_60.add(dport)
-        self.gaps.add(ts), self.active.add(ts, end_us(ts, duration))
+        self.gaps.add(ts), self.active.add(ts, end_us(ts, duration)), self.pairs.setdefault(dst, Gaps()).add(ts)
         return out
 
 
 class ByDestination(Sweep):
-    """Features over 10 and 60 seconds of one destination."""
+    """Features over 10 and 60 seconds of one destination, and the active rows of its ports."""
 
     keys = ("dst_ip",)
-    reads = ("src_ip", "duration")
-    names = ("h_active_dst", "h_src_distinct_60", "h_src_distinct_10", "h_src_entropy_60")
+    reads = ("src_ip", "dst_port", "duration")
+    names = ("h_active_dst", "h_src_distinct_60", "h_src_distinct_10", "h_src_entropy_60", "h_active_service")
 
     def __init__(self, short: int = 10 * MICRO, long: int = 60 * MICRO):
         super().__init__()
@@ -211,53 +233,20 @@ class ByDestination(Sweep):
     def start(self) -> None:
         self.long_rows, self.short_rows = deque(), deque()
         self.src_60, self.src_10, self.active = Histogram(), Histogram(), Active(self.short)
+        self.services: dict[int, Active] = {}
 
-    def row(self, ts, src, duration) -> tuple:
-        for rows, held, span in ((self.long_rows, self.src_60, self.long), (self.short_rows, self.src_10, self.short)):
-            while rows and rows[0][0] < ts - span:
-                held.remove(rows.popleft()[1])
-        out = (self.active.count(ts), self.src_60.distinct, self.src_10.distinct, self.src_60.entropy())
-        self.long_rows.append((ts, src)), self.short_rows.append((ts, src))
-        self.src_60.add(src), self.src_10.add(src), self.active.add(ts, end_us(ts, duration))
-        return out
-
-
-class ByPair(Sweep):
-    """Features over 300 seconds of a source and destination."""
-
-    keys = ("src_ip", "dst_ip")
-    names = ("h_pair_iat_cv", "h_pair_autocorr")
-
-    def __init__(self, span: int = 300 * MICRO):
-        super().__init__()
-        self.span = span
-
-    def start(self) -> None:
-        self.gaps = Gaps()
-
-    def row(self, ts) -> tuple:
-        while self.gaps.times and self.gaps.times[0] < ts - self.span:
-            self.gaps.remove()
-        out = (self.gaps.variation(), self.gaps.autocorrelation())
-        self.gaps.add(ts)
-        return out
-
-
-class ByService(Sweep):
-    """Active rows of a destination and port."""
-
-    keys = ("dst_ip", "dst_port")
-    reads = ("duration",)
-    names = ("h_active_service",)
-
-    def __init__(self, span: int = 10 * MICRO):
-        super().__init__()
-        self.span = span
-
-    def start(self) -> None:
-        self.active = Active(self.span)
-
-    def row(self, ts, duration) -> tuple:
-        out = (self.active.count(ts),)
-        self.active.add(ts, end_us(ts, duration))
+    def row(self, ts, src, dport, duration) -> tuple:
+        while self.long_rows and self.long_rows[0][0] < ts - self.long:
+            _, s, p = self.long_rows.popleft()
+            self.src_60.remove(s)
+            # What is active has begun in the short span: a port without such rows is forgotten.
+            if p in self.services and not self.services[p].count(ts):
+                del self.services[p]
+        while self.short_rows and self.short_rows[0][0] < ts - self.short:
+            self.src_10.remove(self.short_rows.popleft()[1])
+        service = self.services.setdefault(dport, Active(self.short))
+        out = (self.active.count(ts), self.src_60.distinct, self.src_10.distinct, self.src_60.entropy(), service.count(ts))
+        self.long_rows.append((ts, src, dport)), self.short_rows.append((ts, src))
+        end = end_us(ts, duration)
+        self.src_60.add(src), self.src_10.add(src), self.active.add(ts, end), service.add(ts, end)
         return out

@@ -20,6 +20,8 @@ class FlowOptions:
     benign_only: bool = False
     need_flow: bool = True
     bucket_seconds: float = 5.0
+    #: Rows of a source or destination beyond which it is cut into slices of time; events should then be a table.
+    hot_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ def session(name: str = "weirflow", **conf: str) -> SparkSession:
 def flow_features(events: DataFrame, options: FlowOptions = FlowOptions()) -> DataFrame:
     """Flows of events with the 45 features."""
     flows = eve.to_flows(events, options.dedupe, options.benign_only, options.need_flow, options.bucket_seconds)
-    return features.features(flows)
+    return features.features(flows, options.hot_rows)
 
 
 def reachable(flows: DataFrame, labels: DataFrame, key: str = "identity_key") -> DataFrame:
@@ -58,7 +60,7 @@ def training_table(events: DataFrame, labels: DataFrame, options: FlowOptions =
     out before the windows, which pays when most sources have no label; events should then be a table, as they are read several times.
     """
     flows = eve.to_flows(events, options.dedupe, options.benign_only, options.need_flow, options.bucket_seconds)
-    made = features.features(reachable(flows, labels) if few_labels else flows)
+    made = features.features(reachable(flows, labels) if few_labels else flows, options.hot_rows)
     keep = [*features.NAMES, "identity_key", "flow_key"]
     out = joins.labelled(made.select(*keep), labels, "identity_key")
     return out.select(*features.NAMES, "binary_label", *(["attack_subclass"] if subclass else []), "identity_key", "flow_key")

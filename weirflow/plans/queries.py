@@ -216,12 +216,6 @@ def flow_features(spark, sf_dir):
     return out.select("seq", *[F.round(n, 6).alias(n) for n in six], *[F.round(n, 4).alias(n) for n in four])
 
 
-@query()
-def all_flow_features(spark, sf_dir):
-    """All 45 features."""
-    return features.features(flow_rows(spark, sf_dir)).select("seq", *features.NAMES)
-
-
 def label_rows(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     """Labels of the flows of all events (or of those which chooses), the multiples of 15 labelled twice."""
     e = event_rows(spark, sf_dir).where(which)
@@ -244,12 +238,6 @@ def label_join(spark, sf_dir):
     return out.select(F.col("flow_seq").alias("seq"), F.col("binary_label").cast("long").alias("binary_label"), "attack_subclass")
 
 
-@query()
-def training_table(spark, sf_dir):
-    """Features of labelled flows, labels and keys: the whole plan from log lines."""
-    return pipelines.training_table(eve.parsed(event_lines(spark, sf_dir), ("flow",)), label_rows(spark, sf_dir))
-
-
 @query(f"""
 WITH {E_SQL}, k AS (SELECT DISTINCT seq FROM e WHERE seq % 3 = 0 UNION SELECT DISTINCT -doc_id - 1 FROM labels)
 SELECT count(*) FILTER (WHERE k.seq >= 0) AS matched, count(*) AS label_keys, round(count(*) FILTER (WHERE k.seq >= 0) / count(*), 6) AS ratio FROM k
@@ -619,12 +607,6 @@ def top_parts(spark, sf_dir):
     return sampling.top(table(spark, sf_dir, "part"), 25, F.col("p_retailprice").desc(), "p_partkey").select("p_partkey", "p_retailprice")
 
 
-@query()
-def hash_sample(spark, sf_dir):
-    """A fixed sample of 200 ports."""
-    return sampling.sample(flow_rows(spark, sf_dir), 200, 42, "seq").select("seq", "dst_port")
-
-
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS n_unique FROM events")
 def shuffle_keeps_rows(spark, sf_dir):
     return sampling.shuffled(table(spark, sf_dir, "events"), 42, "event_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_unique"))
@@ -650,14 +632,6 @@ def nested_quotas(spark, sf_dir):
     return sampling.nested_quotas(sizes, 300, "source", "lang")
 
 
-@query()
-def quota_sample(spark, sf_dir):
-    """Documents drawn by nested quotas."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    sizes = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return sampling.quota_sample(d, sampling.nested_quotas(sizes, 300, "source", "lang"), ["source", "lang"], 42, "doc_id")
-
-
 @query("""
 WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(n) AS m FROM n WHERE event_type NOT IN ('error', 'click'))
 SELECT event_type, least(n, CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'click' THEN 900 ELSE n END) AS n FROM n
@@ -791,30 +765,12 @@ def context_escalation(spark, sf_dir):
     return out.select("seq", F.col("suspicious").cast("long").alias("suspicious"), F.col("dst_sources").cast("long").alias("dst_sources"), F.col("src_hosts").cast("long").alias("src_hosts"), "context_decision")
 
 
-@query(f"""
-WITH {FLOW_SQL}, {_SCORED}, {_CONTEXT},
-x AS (SELECT 'distributed_attack' AS event_type, dst_ip AS key, ts_us, seq, dst_flows AS observed FROM g WHERE t1 UNION ALL SELECT 'destination_port_fanout', dst_ip, ts_us, seq, dst_ports FROM g WHERE t2
-      UNION ALL SELECT 'source_flow_burst', src_ip, ts_us, seq, src_flows FROM g WHERE t3 UNION ALL SELECT 'source_port_scan', src_ip, ts_us, seq, src_ports FROM g WHERE t4 UNION ALL SELECT 'source_dst_fanout', src_ip, ts_us, seq, src_hosts FROM g WHERE t5),
-y AS (SELECT *, row_number() OVER (PARTITION BY event_type, key ORDER BY ts_us, seq) AS r FROM x)
-SELECT event_type, key, ts_us, seq, CAST(observed AS BIGINT) AS observed FROM y WHERE r = 1
-""")
-def context_events(spark, sf_dir):
-    """The first crossing of each threshold."""
-    d = pipelines.decided(scored_rows(spark, sf_dir))
-    return context.events(d, RULES).where("event_type not in ('escalation', 'source_slow_scan')")
-
-
 @query()
 def block_list(spark, sf_dir):
     """Blocks by event time under the list's limits."""
     return context.block_list(pipelines.decided(scored_rows(spark, sf_dir)), context.BlockLimits(ttl=60, most=100, per_minute=60))
 
 
-@query()
-def scored_with_context(spark, sf_dir):
-    return pipelines.decided(scored_rows(spark, sf_dir), pipelines.ScoreOptions(rules=RULES)).select("seq", "risk", "decision", "action")
-
-
 @query()
 def isolation_scores(spark, sf_dir):
     """An isolation forest over line items, fitted on a bounded sample."""
@@ -836,9 +792,16 @@ def forest_probabilities(spark, sf_dir):
     return probability(random_forest(rows, names, "binary_label", trees=10, depth=5), rows).select("identity_key", "probability")
 
 
+def _load() -> None:
+    """The modules that register queries of their own."""
+    from weirflow.plans import flow_queries, table_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)

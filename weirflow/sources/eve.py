@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -10,6 +12,11 @@ from pyspark.sql.window import Window
 from weirflow.functions import coerce, identity, network, times
 
 
+#: The field that holds a line that is no JSON object, and how lines are parsed: a line with one is left out.
+_BAD = "_not_json"
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false"}
+
+
 def _struct(*names: str) -> StructType:
     # Strings take any JSON value as its text, so that nothing is lost to a type that a producer changes.
     return StructType([StructField(n, StringType()) for n in names])
@@ -23,12 +30,41 @@ EVENT = StructType(
     + [StructField("flow", FLOW), StructField("http", HTTP), StructField("tls", _struct("version", "sni")), StructField("ip", _struct("ttl", "fragments")), StructField("inner", _struct("ttl", "fragments")), StructField("tcp", StringType()), StructField("netflow", StringType())]
 )
 
+_READ = StructType([*EVENT.fields, StructField(_BAD, StringType())])
+
+
+#: Bytes that a file may have for its lines to be numbered, and files of a read, as powers of two.
+_FILE_BITS, _FILES_BITS = 43, 20
+
+
+def line_number(rows: DataFrame) -> Column:
+    """A number for each row of files that are read by line, in the order of file names and of lines in a file.
+
+    It is the place of the file among their names, then the first byte of the row's split, then the row's place in its task: a task
+    reads a split in order and never more rows than a split has bytes, so that rows of later splits have larger numbers, however splits are
+    packed into tasks. Nothing is counted or sorted. rows must come from the reader without an exchange.
+    """
+    # The two ways to a local file's name differ in its slashes.
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in rows.inputFiles())
+    if len(files) >= 1 << _FILES_BITS:
+        raise ValueError("too many files for one read: read folders apart and unite them")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    inside = F.col("_metadata.file_block_start") + place
+    if len(files) <= 1:
+        return inside
+    # A search in the sorted names: as many steps as the number of files has bits.
+    rank = F.lit(0)
+    names = F.split(F.lit("\n".join(files)), "\n")  # one literal
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    for step in [1 << k for k in reversed(range(len(files).bit_length()))]:
+        rank = rank + F.when(F.coalesce(F.get(names, rank + (step - 1)) < path, F.lit(False)), step).otherwise(0)
+    return F.shiftleft(rank.cast("long"), _FILE_BITS) + inside
+
 
 def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
-    """value, path, seq: the lines of log files; seq orders lines by file and place in it."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    return lines.select("value", "path", F.col("_place").alias("seq"))
+    """value, path, seq: the lines of log files; seq orders lines by the name of their file and the place in it (see line_number)."""
+    rows = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    return rows.select("value", F.col("_metadata.file_path").alias("path"), line_number(rows).alias("seq"))
 
 
 def parsed(lines: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
@@ -38,8 +74,9 @@ def parsed(lines: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """
     if types:
         lines = lines.where(F.col("value").rlike(r'"event_type"\s*:\s*"\s*(?i:%s)\s*"' % "|".join(types)))
-    out = lines.withColumn("event", F.from_json("value", EVENT, {"mode": "PERMISSIVE"})).where(F.trim("value").startswith("{") & F.col("event").isNotNull())
-    out = out.where(F.try_parse_json("value").isNotNull())
+    # A generator of one row: what is filtered or taken from the event later does not parse the line again.
+    events = F.array(F.from_json("value", _READ, _OPTIONS))
+    out = lines.where(F.trim("value").startswith("{")).withColumn("event", F.explode(events)).where(F.col(f"event.{_BAD}").isNull())
     return out.where(F.lower(F.trim(F.col("event.event_type"))).isin(*types)) if types else out
 
 
@@ -57,21 +94,18 @@ def is_line_wise(spark: SparkSession, path: str, lines: int = 50) -> bool:
 
 
 def read_any(spark: SparkSession, path: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Events of a file, line-wise or pretty-printed; the latter is read as a whole, as it cannot be split."""
+    """Events of files, line-wise or pretty-printed: there an object ends with a brace at the start of a line, so that such files can be split too."""
     if is_line_wise(spark, path):
         return read_events(spark, path, types)
-    rows = spark.read.option("multiLine", "true").schema(EVENT).json(path)
-    rows = rows.select(F.to_json(F.struct("*")).alias("value"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
+    rows = spark.read.text(path, lineSep="\n}")
+    whole = F.concat(F.ltrim(F.regexp_replace("value", r"^[\s,\[]+", "")), F.lit("\n}"))
+    rows = rows.select(whole.alias("value"), F.col("_metadata.file_path").alias("path"), line_number(rows).alias("seq"))
     return parsed(rows, types)
 
 
-def _json(text: Column, field: str) -> Column:
-    """A field of a JSON object as JSON text: strings keep their quotes, so that truth can be told from spelling."""
-    return F.to_json(F.try_variant_get(F.try_parse_json(text), f"$.{field}", "variant"))
-
-
 def flag(tcp: Column, field: str) -> Column:
-    return coerce.truthy(_json(tcp, field))
+    """Whether a field of a JSON object, given as a variant, is true; as JSON text strings keep their quotes, so that truth can be told from spelling."""
+    return coerce.truthy(F.to_json(F.try_variant_get(tcp, f"$.{field}", "variant")))
 
 
 def to_flows(events: DataFrame, dedupe: bool = False, benign_only: bool = False, need_flow: bool = True, bucket: float = 5.0) -> DataFrame:
@@ -87,7 +121,10 @@ def to_flows(events: DataFrame, dedupe: bool = False, benign_only: bool = False,
     if benign_only:
         rows = rows.where(F.coalesce(F.lower(e("flow.alerted")), F.lit("false")) != "true")
     is_object = F.coalesce(F.trim(e("tcp")).startswith("{"), F.lit(False))
-    mark = lambda name: F.when(is_object & flag(e("tcp"), name), 1).otherwise(0).cast("long")
+    # As in parsed(): all flags come from one parse.
+    tcp = fresh(rows, "tcp_object")
+    rows = rows.withColumn(tcp, F.explode(F.array(F.try_parse_json(F.when(is_object, e("tcp"))))))
+    mark = lambda name: F.when(is_object & flag(F.col(tcp), name), 1).otherwise(0).cast("long")
     out = rows.select(
         "seq",
         times.event_us(e("flow.start"), e("flow.end"), e("timestamp")).alias("ts_us"),
@@ -115,15 +152,19 @@ def to_flows(events: DataFrame, dedupe: bool = False, benign_only: bool = False,
     return first_by(out, "flow_id", "seq") if dedupe else out
 
 
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by order; rows without a key all stay."""
-    unique = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(order).cast("string")))
-    return df.withColumn("_key", unique).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order))).where("_n = 1").drop("_key", "_n")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
-def flow_order() -> list[Column]:
-    """The order in which flows are processed."""
-    return [F.col("ts_us"), F.coalesce(F.col("flow_id"), F.lit("")), F.col("src_ip"), F.col("dst_ip"), F.col("src_port"), F.col("dst_port"), F.col("seq")]
+def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by order; rows without a key all stay."""
+    unique, n = fresh(df, "key"), fresh(df, "n")
+    rows = df.withColumn(unique, F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(order).cast("string"))))
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(unique).orderBy(order))).where(F.col(n) == 1).drop(unique, n)
 
 
 def http_rows(events: DataFrame) -> DataFrame:
@@ -146,13 +187,16 @@ def mask(events: DataFrame) -> Column:
     """The TCP flag bits of each event."""
     tcp = F.col("event.tcp")
     text = lambda name: F.get_json_object(tcp, f"$.{name}")
-    return network.flag_mask({n: flag(tcp, n) for n in network.FLAG_BITS}, text("tcp_flags_ts"), text("tcp_flags_tc"), text("tcp_flags"))
+    return network.flag_mask({n: flag(F.try_parse_json(tcp), n) for n in network.FLAG_BITS}, text("tcp_flags_ts"), text("tcp_flags_tc"), text("tcp_flags"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """A table of strings: headers trimmed, lines that begin with # left out."""
+    """A table of strings: headers trimmed, lines that begin with # left out; seq, unless the table has such a column, orders its rows."""
     rows = spark.read.options(header=True, inferSchema=False, comment="#", mode="PERMISSIVE", **options).csv(path)
-    return rows.toDF(*[c.strip() for c in rows.columns])
+    names = [c.strip() for c in rows.columns]
+    if "seq" in {n.lower() for n in names}:
+        return rows.toDF(*names)
+    return rows.select("*", line_number(rows).alias("seq")).toDF(*names, "seq")
 
 
 def first_of(df: DataFrame, *names: str, default: Column | None = None) -> Column:
@@ -163,7 +207,10 @@ def first_of(df: DataFrame, *names: str, default: Column | None = None) -> Colum
 
 
 def read_labels(df: DataFrame) -> DataFrame:
-    """Labels by identity key from a label table under its various headers; seq keeps the order of rows (see last_wins)."""
+    """Labels by identity key from a label table under its various headers; seq keeps the order of rows (see last_wins).
+
+    The order is the table's column seq, as read_csv() gives it; a table without one, which has no order of rows, gets the hash of the label.
+    """
     have = {c.strip().lower() for c in df.columns}
     if not have & {"binary_label", "label"}:
         raise ValueError("a label table needs a column binary_label or label")
@@ -171,12 +218,13 @@ def read_labels(df: DataFrame) -> DataFrame:
     seconds = times.label_us(first_of(df, "timestamp", "ts")) / 1e6
     made = identity.flow_key(first_of(df, "src_ip"), first_of(df, "src_port"), first_of(df, "dst_ip", "dest_ip"), first_of(df, "dst_port", "dest_port"), first_of(df, "protocol", "proto"), seconds)
     key = F.coalesce(F.nullif(F.trim(first_of(df, "flow_key")), F.lit("")), made)
-    return df.select(
+    out = df.select(
         identity.identity_key(flow_id, key).alias("identity_key"),
         coerce.binary_label(first_of(df, "binary_label", "label")).alias("binary_label"),
         coerce.table_text(first_of(df, "attack_subclass", "attack_type")).alias("attack_subclass"),
-        (first_of(df, "seq").cast("long") if "seq" in have else F.monotonically_increasing_id()).alias("seq"),
+        *([first_of(df, "seq").cast("long").alias("seq")] if "seq" in have else []),
     )
+    return out if "seq" in have else out.withColumn("seq", F.xxhash64("binary_label", "attack_subclass"))
 
 
 #: The headers under which a scoring table may have its addresses and ports.
@@ -237,17 +285,32 @@ def synthetic_scan(spark: SparkSession, rows: int, seed: int = 42, scanners: int
     return spark.range(rows).select(F.to_json(event).alias("value"))
 
 
-def netflow_metrics(events: DataFrame) -> DataFrame:
-    """Rates and gaps of netflow records, each under the first of its names that a record has."""
-    body = F.col("event.netflow")
-    number = lambda *names: coerce.safe_float(F.coalesce(*[F.get_json_object(body, f"$.{n}") for n in names]))
+#: The names under which netflow records have each measure.
+NETFLOW_NAMES = {
+    "pkt_rate": ("pkt_rate", "packet_rate", "pktrate", "pkt_per_sec"),
+    "byte_rate": ("byte_rate", "bytes_rate", "byterate", "byte_per_sec"),
+    "iat_min": ("iat_min", "iatmin", "inter_arrival_min"),
+    "iat_max": ("iat_max", "iatmax", "inter_arrival_max"),
+    "iat_avg": ("iat_avg", "iatmean", "iat_mean", "inter_arrival_avg"),
+}
+
+
+def netflow_metrics(events: DataFrame, bucket: float = 5.0) -> DataFrame:
+    """seq, ts_us, flow_key and rates and gaps of netflow records: each measure under the first of its names that holds a finite number, null without one.
+
+    Records without any measure are left out.
+    """
     e = lambda name: F.col(f"event.{name}")
-    at = times.parsed_us(e("timestamp"))
-    return events.where(F.lower(F.trim(e("event_type"))) == "netflow").select(
-        "seq", F.coalesce(at, F.lit(0).cast("long")).alias("ts_us"),
-        F.concat_ws("|", coerce.address(e("src_ip")), coerce.safe_int(e("src_port")).cast("string"), coerce.address(e("dest_ip")), coerce.safe_int(e("dest_port")).cast("string"), coerce.protocol(e("proto"))).alias("pair"),
-        number("pkt_rate", "pkts_per_sec", "packet_rate").alias("pkt_rate"), number("byte_rate", "bytes_per_sec").alias("byte_rate"),
-        number("iat_min", "min_iat").alias("iat_min"), number("iat_max", "max_iat").alias("iat_max"), number("iat_avg", "avg_iat", "iat_mean").alias("iat_avg"),
-    )
+    rows = events.where(F.lower(F.trim(e("event_type"))) == "netflow")
 
+    def finite(name: str) -> Column:
+        number = F.get_json_object(e("netflow"), f"$.{name}").try_cast("double")
+        return F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
 
+    at = times.event_us(e("flow.start"), e("flow.end"), e("timestamp"))
+    out = rows.select(
+        "seq", at.alias("ts_us"),
+        identity.flow_key(e("src_ip"), e("src_port"), e("dest_ip"), e("dest_port"), e("proto"), at / 1e6, bucket).alias("flow_key"),
+        *[F.coalesce(*[finite(n) for n in names]).alias(measure) for measure, names in NETFLOW_NAMES.items()],
+    )
+    return out.where(F.coalesce(*NETFLOW_NAMES).isNotNull())

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import decisions, times
 
-#: The columns of a label table, in their order.
+#: The columns of a label table, in their order.
 GROUND_TRUTH = ("dataset_day", "timestamp", "event_type", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "flow_id", "flow_key", "http_method", "http_host", "http_url", "http_user_agent", "http_status", "label", "attack_type", "labeling_mode")
 
 
@@ -51,3 +51,24 @@ def weights(df: DataFrame) -> DataFrame:
 def original_lines(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
     """The events as they came (column value); with an order, parts are ranges of it and sorted within."""
     (df.orderBy(*order) if order else df).select("value").write.mode("overwrite").text(path)
+
+
+def label_table(labels: DataFrame) -> DataFrame:
+    """identity_key, label and, if there, subclass: labels as other programs read them, a row for each key."""
+    more = [F.col("attack_subclass").alias("subclass")] if "attack_subclass" in labels.columns else []
+    return labels.select("identity_key", F.col("binary_label").cast("int").alias("label"), *more)
+
+
+def feature_cache(df: DataFrame, path: str) -> None:
+    """A table of features for later runs."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def cached_features(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """The features of a cache, all there and within their bounds; a cache that lacks one is an error."""
+    from weirflow.operators.features import sane_all
+
+    df = spark.read.parquet(path)
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"the cache lacks {', '.join(missing)}")
+    return sane_all(df, names)
