@@ -24,15 +24,10 @@ def read_stream(spark: SparkSession, path: str, types: tuple[str, ...] | None =
 
 
 def with_event_time(flows: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """flows with event_time and a watermark on it: rows that come later than the delay are left out of stateful results."""
+    """flows with event_time and a watermark on it: rows that come later than the delay are left out of stateful results (carried.py keeps them in a table)."""
     return flows.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
 
 
-def late_rows(flows: DataFrame, now_us: int, delay_us: int) -> DataFrame:
-    """Rows that were already too old at a time: for a side table next to the stream."""
-    return flows.where(F.col("ts_us") < now_us - delay_us)
-
-
 def first_of_id(flows: DataFrame, key: str = "flow_id") -> DataFrame:
     """The first row of each id, as far as the watermark reaches; needs event_time."""
     return flows.dropDuplicatesWithinWatermark([key])
