@@ -1,9 +1,10 @@
 """Removal of word windows that occur more than once, decided by an FM-index for each shard.
 
 Windows are dealt to shards by their anchors (see anchors), so that all occurrences of a window meet in one shard. There the distinct pieces of
-text are indexed: superwords of seven words are the symbols, the Burrows-Wheeler transform of all phases is kept in a
-wavelet matrix of packed bits, and every window is searched backwards, five symbols for 35 words. The interval that is left holds
-the window's occurrences; if their weight is two or more, the window is reported.
+text are indexed: superwords of seven words are the symbols, and of all phases only the Burrows-Wheeler transform stays, in a
+wavelet matrix of packed bits, with one more bit for each suffix that tells whether its piece occurs more than once. The pieces are then
+streamed through the index in blocks: backward search gives the matching statistic of every place, the longest run of symbols that ends there and
+has two occurrences or more. Where that reaches the threshold, five symbols for 35 words, the window is reported.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from weirflow.llm.common import text_blocks, written
 from weirflow.llm.ngram_join import WordHashes, mix
 
 
+#: Places of the pieces that are streamed through the index at a time.
+BLOCK = 1 << 17
+
+
 class BitVector:
     """Packed bits with counts before each 64-bit word."""
 
@@ -77,25 +82,52 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over a text of symbols from 1 up, 0 the end of a sequence; suffixes are sorted to depth symbols."""
+    """Backward search over a text of symbols from 1 up, 0 the end of a sequence; suffixes are sorted to depth symbols.
+
+    heavy tells which places of the text count twice. Neither the text nor the suffix array is kept.
+    """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.order = sorted_suffixes(text, depth)
+    def __init__(self, text: np.ndarray, depth: int, heavy: np.ndarray | None = None):
+        order = sorted_suffixes(text, depth)
         alphabet = int(text.max(initial=0)) + 1
+        self.depth = depth
         self.starts = np.r_[0, np.cumsum(np.bincount(text, minlength=alphabet))]
-        self.matrix = WaveletMatrix(text[self.order - 1], alphabet)
+        self.matrix = WaveletMatrix(text[order - 1], alphabet)
+        self.heavy = BitVector((heavy[order] if heavy is not None else np.zeros(len(order))).astype(np.uint8))
+
+    def _step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.matrix.rank(symbol, low, high)
+        return self.starts[symbol] + a, self.starts[symbol] + b
+
+    def occurrences(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return high - low + self.heavy.ones(high) - self.heavy.ones(low)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of suffixes that begin with each row of patterns (at most depth symbols)."""
         low, high = self.starts[patterns[:, -1]], self.starts[patterns[:, -1] + 1]
-        live = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 2, -1, -1):
-            # A window of which one occurrence is left cannot be repeated, unless that one has weight: it stays as it is.
-            symbol = patterns[live, k]
-            a, b = self.matrix.rank(symbol, low[live], high[live])
-            low[live], high[live] = self.starts[symbol] + a, self.starts[symbol] + b
+            low, high = self._step(patterns[:, k], low, high)
         return low, high
 
+    def statistics(self, text: np.ndarray, ends: np.ndarray, least: int = 2) -> np.ndarray:
+        """For each place of ends, the longest run of symbols of text that ends there and has at least so many occurrences, up to depth.
+
+        A place is searched on only as long as its run has them.
+        """
+        out = np.zeros(len(ends), np.int64)
+        live = np.arange(len(ends))
+        low, high = self.starts[text[ends]], self.starts[text[ends] + 1]
+        for k in range(self.depth):
+            if k:
+                symbol = text[ends[live] - k]
+                whole = symbol > 0  # runs do not go beyond the end of a sequence
+                live, low, high, symbol = live[whole], low[whole], high[whole], symbol[whole]
+                low, high = self._step(symbol, low, high)
+            enough = self.occurrences(low, high) >= least
+            live, low, high = live[enough], low[enough], high[enough]
+            out[live] = k + 1
+        return out
+
 
 def superword(width: int) -> int:
     """Words in a symbol: the divisor of width nearest to 7."""
@@ -124,14 +156,15 @@ def repeated_windows(pieces: list[bytes], width: int, weights: np.ndarray) -> li
     order = np.lexsort((items[2], items[1], items[0]))
     text, owner, start = symbols[order], items[0][order], items[2][order]
     depth = width // q
-    index = FMIndex(text, depth)
-    asked = np.flatnonzero((start < 1 << 40) & (start + width <= lengths[owner]))
-    low, high = index.search(np.stack([text[asked + k] for k in range(depth)], axis=1))
-    total = np.r_[0, np.cumsum(weights[owner[index.order]])]
-    again = total[high] - total[low] >= 2
+    index = FMIndex(text, depth, weights[owner] >= 2)
     out = [np.zeros(max(0, n - width + 1), bool) for n in lengths.tolist()]
-    for i, s in zip(owner[asked[again]].tolist(), start[asked[again]].tolist()):
-        out[i][s] = True
+    # A window ends where its last superword begins; the first of its five begins that much earlier.
+    ends = np.flatnonzero((start < 1 << 40) & (start >= width - q))
+    for block in range(0, len(ends), BLOCK):
+        part = ends[block : block + BLOCK]
+        found = part[index.statistics(text, part) >= depth]
+        for i, s in zip(owner[found].tolist(), (start[found] - (width - q)).tolist()):
+            out[i][s] = True
     return out
 
 
