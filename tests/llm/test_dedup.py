@@ -278,7 +278,8 @@ def windows_expected(rows, width):
 
 
 @pytest.mark.parametrize("width", [35, 50])
-def test_substrings(docs, rows, width):
+def test_substrings(docs, rows, width, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 100)
     got = by_id(substring_dedup.without_repeats(docs, width))
     for d, n, removed, sha in windows_expected(rows, width):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (n, removed, sha), d
@@ -342,14 +343,49 @@ def test_suffixes_odd(odd, empty, monkeypatch):
 
 
 def test_levels_halve():
-    family = suffix_dedup.Family()
+    """Levels are suffix arrays: starts into bytes, merged by scans, that answer like a table of windows."""
     import numpy as np
 
-    for i in range(20):
-        windows = np.array([f"{i:04d}{k:04d}" for k in range(10)], "S8")
-        family.add(suffix_dedup.Level(windows, np.full(10, i)))
+    rng = np.random.default_rng(7)
+    family, seen, width = suffix_dedup.Family(), {}, 5
+    for i in range(25):
+        pieces = [bytes(rng.integers(0, 3, rng.integers(3, 30)).astype(np.uint8)) for _ in range(6)]
+        data, starts, owner = suffix_dedup.piece_starts(pieces, width)
+        ranks = np.array([100 * i + k for k in range(6)])[owner]
+        own, place = suffix_dedup.Level.of(data, starts, ranks, width)
+        assert own.windows().tolist() == sorted(set(own.windows().tolist())) and own.starts.dtype == np.int64
+        text = data.tobytes()
+        windows = [text[s : s + width] for s in starts.tolist()]
+        for w, r in zip(windows, ranks.tolist()):
+            seen[w] = min(seen.get(w, r), r)
+        own.ranks = family.least(own)
+        assert own.ranks[place].tolist() == [seen[w] for w in windows]
+        family.add(own)
         sizes = [len(x) for x in family.levels]
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
-    assert sum(len(x) for x in family.levels) == 200
-    asked = np.array([b"00030004", b"zzz"], "S8")
-    assert family.least(asked, np.array([9, 9])).tolist() == [3, 9]
+    assert len({w for level in family.levels for w in level.windows().tolist()}) == len({w.rstrip(b"\0") for w in seen})
+
+
+def test_matching_statistics():
+    """The longest run that ends at a place and occurs twice, up to the depth, pieces that occur twice counting as such."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    depth, parts = 4, [rng.integers(1, 4, k) for k in (40, 1, 25, 60)]
+    text = np.concatenate([np.r_[p, 0] for p in parts])
+    heavy = np.repeat([False, True, True, False], [41, 2, 26, 61])
+    index = substring_dedup.FMIndex(text, depth, heavy)
+    ends = np.flatnonzero(text)
+    plain = "".join(map(str, text))
+    for end, got in zip(ends.tolist(), index.statistics(text, ends).tolist()):
+        want = 0
+        for k in range(1, depth + 1):
+            run = plain[end - k + 1 : end + 1]
+            if end - k + 1 < 0 or "0" in run:
+                break
+            at = [i for i in range(len(plain)) if plain.startswith(run, i)]
+            if sum(1 + heavy[i] for i in at) < 2:
+                break
+            want = k
+        assert got == want, end
+    assert not any(hasattr(index, n) for n in ("order", "text"))
