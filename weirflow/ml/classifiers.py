@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.operators import aggregates
+from weirflow.operators.joins import small
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -19,7 +20,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
     weights = sizes.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(weights), label)
+    return df.join(small(weights), label)
 
 
 def _vectors(names: tuple[str, ...]) -> VectorAssembler:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirflow.operators.sampling import percentiles, running
+
 
 def counts(df: DataFrame, *by: str, most: int | None = None) -> DataFrame:
     """Rows by group, the largest groups first."""
@@ -149,14 +151,13 @@ def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auc: the chance that a positive scores above a negative, ties half. Rows are first counted by score, so that only distinct scores are ranked."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by.withColumn("w", F.col("p") * (below + F.col("n") / 2.0))
+    wins = running(by.where("s is not null"), "s", "n").withColumn("w", F.col("p") * (F.col("before") + F.col("n") / 2.0))
     return wins.agg(F.try_divide(F.sum("w"), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, f1, recall: the best by f1 of the scores' percentiles 5, 10 .. 95."""
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(k / 100) for k in range(5, 100, 5)])).alias("cuts"))
+    cuts = percentiles(df, score, [k / 100 for k in range(5, 100, 5)])
     marked = df.select(label, score).crossJoin(F.broadcast(cuts))
     a = F.col(label) == 1
     sums = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirflow.functions import network
+from weirflow.operators.joins import small
 
 
 def draw(seed: int, *keys: str | Column) -> Column:
@@ -38,6 +39,32 @@ def ranges(df: DataFrame, n: int, ts: str, offset: str) -> DataFrame:
     return df.crossJoin(F.broadcast(cuts)).withColumn("range", F.coalesce(over, F.lit(0)).cast("int")).drop("cuts")
 
 
+def running(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
+    """df with before: the sum of value over the rows with a smaller order, which is unique.
+
+    The rows are cut into ranges by approximate quantiles; sums run inside a range, and those of the ranges before it come from a table of parts rows.
+    """
+    cut = ranges(df, parts, order, order).withColumnRenamed("range", "part")
+    inside = F.sum(value).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    whole = cut.groupBy("part").agg(F.sum(value).alias("whole"))
+    ahead = whole.select("part", F.coalesce(F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    out = cut.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(ahead), "part")  # parts rows
+    return out.select(*df.columns, (F.col("inside") + F.col("ahead")).alias("before"))
+
+
+def percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """cuts: the exact percentiles of a column, between neighbours by their distance, from running counts of its distinct values; null without rows."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(counts, "x", "n").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all"))))  # one row
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("x")))
+    cells = []
+    for k, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("all") - 1)
+        cells += [at(F.floor(place)).alias(f"a{k}"), at(F.ceil(place)).alias(f"b{k}"), F.max(place - F.floor(place)).alias(f"w{k}")]
+    row = ranked.agg(*cells)
+    return row.select(F.array(*[(1 - F.col(f"w{k}")) * F.col(f"a{k}") + F.col(f"w{k}") * F.col(f"b{k}") for k in range(len(shares))]).alias("cuts"))
+
+
 def line_range(df: DataFrame, first: int, last: int, ts: Column, offset: str) -> DataFrame:
     """Rows first to last (from 0, last left out) of the time order."""
     return in_time_order(df, ts, offset).offset(first).limit(last - first)
@@ -107,7 +134,7 @@ def quota_sample(df: DataFrame, quotas: DataFrame, strata: Sequence[str], seed:
     condition = F.lit(True)
     for s in strata:
         condition = condition & F.col(f"d.{s}").eqNullSafe(F.col(f"q.{s}"))
-    joined = df.alias("d").join(F.broadcast(quotas.select(*strata, "quota")).alias("q"), condition).select("d.*", F.col("q.quota").alias("_quota"))
+    joined = df.alias("d").join(small(quotas.select(*strata, "quota")).alias("q"), condition).select("d.*", F.col("q.quota").alias("_quota"))
     return joined.withColumn("_n", F.row_number().over(place)).where("_n <= _quota").drop("_n", "_quota")
 
 
@@ -198,5 +225,5 @@ def folds(df: DataFrame, group: str, k: int, label: str | None = None, seed: int
 
 def temporal_split(df: DataFrame, ts: str, test: float = 0.2) -> DataFrame:
     """df with split: the last part of time (by the quantile of ts) is the test."""
-    cut = df.agg(F.percentile(ts, 1 - test).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col(ts) > F.col("_cut"), "test").otherwise("train")).drop("_cut")
+    cut = percentiles(df, ts, [1 - test])
+    return df.crossJoin(F.broadcast(cut)).select(*df.columns, F.when(F.col(ts) > F.get("cuts", F.lit(0)), "test").otherwise("train").alias("split"))
