@@ -10,27 +10,42 @@ from weirflow.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality discriminant does not reject."""
+    """Documents that the quality discriminant does not reject, with their own columns.
+
+    Every row is judged by its own text; a null or empty one is judged as an empty text, rows that repeat alike. Without labels of both kinds all rows get one score.
+    """
     return quality_classifier.good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space, with its own columns.
+
+    The longest text stays, of those the smallest doc_id (a null one last). Null and empty texts are one group. Rows that repeat doc_id and text count as one.
+    """
     return exact_dedup.dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more), with its own columns.
+
+    The smallest doc_id stays (a null one last), of ties the least hash of doc_id and text. Rows without words all stay; they are like nothing.
+    """
     return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them: a row for each time, and one with the words of chosen blocks where those are not all.
+
+    A null source is a source of its own. Rows without words are never taken. Rows that agree in doc_id and text are taken alike.
+    """
     return mixing.mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, packed."""
+    """Pieces of token sequences, packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Rows that repeat a doc_id are packed each; a null or empty text is the end id alone.
+    """
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -42,7 +57,7 @@ STAGES = [
     ("best-fit packing", pack_stage),
 ]
 
-#: Stages that learn, link, mix and pack are beyond SQL; tests compare them with brute force.
+#: Stages that learn, link, mix and pack are beyond SQL; tests compare the exact and near stages with brute force, and the others by their operators' tests.
 ORACLE_SQL = None
 
 
