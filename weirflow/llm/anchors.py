@@ -13,14 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weirflow.llm.common import shard_count, text_blocks, written
 from weirflow.llm.ngram_join import mix
 
 #: Symbols in a gram, unless a caller says otherwise: enough that most grams are as rare as what they stand in.
 GRAM = 8
-_PLACE = np.uint64((1 << 30) - 1)
+#: Places of a block: a text has fewer than 2 ** 31 bytes.
+_PLACE = np.uint64((1 << 31) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _ALL = 0xFFFFFFFFFFFFFFFF
 #: Rows of the table of copied texts (32 bytes each) that may be broadcast instead of shuffling the texts.
@@ -70,21 +70,15 @@ def window_anchors(codes: np.ndarray, lengths: np.ndarray, width: int, gram: int
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, key, rank, text, d1, d2: key tells different rows apart, rank has the order of doc_ids, d1 and d2 digest the text.
+    """doc_id, key, rank, text, d1, d2: key tells different rows apart, rank has the order of doc_ids (null last, beside the largest long), d1 and d2 digest the text.
 
-    Where doc_ids are unique both are the doc_id. Else rows are numbered by doc_id (null last) and digest; rows that agree in both share a key.
+    The key is a 64-bit hash of doc_id and text, so that nothing has to be numbered; rows that agree in both share it.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumn("d1", F.xxhash64("text")).withColumn("d2", F.xxhash64(F.lit(1), F.col("text")))
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return docs.withColumn("key", F.col("doc_id")).withColumn("rank", F.col("doc_id"))
-    order = [F.col("doc_id").asc_nulls_last()]
-    numbers = docs.select("doc_id", "d1", "d2").distinct()
-    numbers = written(numbers.withColumn("key", F.row_number().over(Window.orderBy(*order, "d1", "d2")).cast("long")).withColumn("rank", F.dense_rank().over(Window.orderBy(*order)).cast("long")), "numbers")
-    joined = docs.alias("d").join(numbers.alias("n"), F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.d1") == F.col("n.d1")) & (F.col("d.d2") == F.col("n.d2")))
-    return joined.select("d.doc_id", "n.key", "n.rank", "d.text", "d.d1", "d.d2")
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "d1", "d2")
+    return docs.withColumn("key", key).withColumn("rank", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
 
 
 def copies(docs: DataFrame) -> DataFrame:
