@@ -372,6 +372,56 @@ def test_quality_on_held_out_rows(corpus, odd, empty, labels):
     assert all(0 <= r.score <= 1 for r in quality_classifier.quality(odd, labels).collect())
 
 
+def test_quality_scores_by_brute_force(corpus):
+    """held_out, score and predicted of every row: densities by inverse matrices and determinants, from the rows outside the fold."""
+    docs, marks = corpus
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in marks.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts}
+    x = np.array([quality_classifier.statistics(texts[d]) for d in sorted(known)])
+    y = np.array([known[d] for d in sorted(known)])
+    scale = x.std(axis=0) + 1e-3
+    z = x / scale
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum(own[c] * (y == c).mean() for c in (0, 1))
+    spread = []
+    for c in (0, 1):
+        s = 0.8 * own[c] + 0.2 * pooled
+        spread.append(0.9 * s + 0.1 * np.diag(np.diag(s)) + 0.01 * np.eye(len(s)))
+
+    def gap(rows):
+        density = []
+        for c in (0, 1):
+            off = rows / scale - z[y == c].mean(axis=0)
+            density.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(spread[c]), off) - 0.5 * np.linalg.slogdet(spread[c])[1])
+        d = density[1] - density[0]
+        return np.sign(d) * np.log1p(np.abs(d))
+
+    curve = toxicity.fit_logistic(np.column_stack([np.ones(len(y)), gap(x)]), y.astype(float))
+    got = by_id(quality_classifier.quality(docs, marks))
+    ids = sorted(texts)
+    want = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * gap(np.array([quality_classifier.statistics(texts[d]) for d in ids])), -30, 30)))
+    assert len(got) == len(ids)
+    for d, w in zip(ids, want.tolist()):
+        assert got[d].score == pytest.approx(w, abs=1e-6)
+        assert (got[d].held_out, got[d].predicted) == (zlib.crc32(str(d).encode()) % 5 == 0, int(got[d].score >= 0.3))
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op2_exact_dedup", "op3_substring_dedup", "op4_quality_rules", "op5_suffix_dedup"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from weirflow.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, folder), con.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    rows = [tuple(r[got.columns.index(n)] for n in names) for r in got.collect()]
+    assert sorted(rows) == sorted(tuple(r[want.columns.index(n)] for n in names) for r in want.fetchall())
+
+
 def test_a_repeated_labelled_id_counts_once(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(quality_classifier, "Discriminant", lambda x, y: seen.update(rows=len(y)))
