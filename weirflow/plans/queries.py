@@ -11,6 +11,7 @@ from weirflow.functions import coerce, decisions, identity, network, stats, time
 from weirflow.operators import aggregates, context, features, joins, labeling, sampling, sets, windows
 from weirflow.plans import pipelines
 from weirflow.sources import eve
+from weirflow.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -788,7 +789,9 @@ def forest_probabilities(spark, sf_dir):
     from weirflow.ml.classifiers import probability, random_forest
 
     names = ("flow_rate_src_10s", "bytes_ratio_fwd_rev", "syn_heavy_ratio_src_60s", "has_tcp")
-    rows = pipelines.training_table(eve.parsed(event_lines(spark, sf_dir), ("flow",)), label_rows(spark, sf_dir)).select("identity_key", "binary_label", *names).persist()
+    path = new_folder(spark, "training")
+    pipelines.training_table(eve.parsed(event_lines(spark, sf_dir), ("flow",)), label_rows(spark, sf_dir)).select("identity_key", "binary_label", *names).write.parquet(path)
+    rows = spark.read.parquet(path)
     return probability(random_forest(rows, names, "binary_label", trees=10, depth=5), rows).select("identity_key", "probability")
 
 
