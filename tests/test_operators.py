@@ -226,3 +226,17 @@ def test_ground_truth_columns(spark):
     rows = spark.createDataFrame([(1_500_000, "a", "b", 1, 2, "TCP", None, 1, "DoS", "m"), (0, "a", "b", 1, 2, "TCP", "9", 0, "benign", "m")], "ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, proto string, flow_id string, label int, attack_type string, labeling_mode string")
     out = pipelines.ground_truth(rows, F.lit("Monday")).collect()
     assert {r.flow_key for r in out} == {"a:1-b:2-TCP-1", "Monday-9"} and len(out[0]) == 18
+
+
+def test_hot_keys_have_the_same_context(spark):
+    """Every source and destination is hot, and cut into slices shorter and longer than the windows."""
+    rng = random.Random(12)
+    rows, t = [], 0
+    for k in range(300):
+        t += rng.choice([0, 1, 2, 30]) * 1_000_000
+        rows.append((k, t, f"s{rng.randrange(3)}", f"d{rng.randrange(3)}", rng.randrange(5), rng.random()))
+    df = spark.createDataFrame(rows, "seq long, ts_us long, src_ip string, dst_ip string, dst_port long, risk double")
+    whole = sorted(map(tuple, context.measured(df).collect()))
+    for slice_us in (1, 900_000_000):
+        assert sorted(map(tuple, context.measured(df, hot_rows=10, slice_us=slice_us).collect())) == whole
+    assert len(whole) == 300

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.operators.packs import distinct_with_self
-from weirflow.operators.windows import prior_sum
+from weirflow.operators.features import in_slices
+from weirflow.operators.sweep import Around
+from weirflow.operators.windows import hot_keys, prior_sum, spread
 
 SECOND = 1_000_000
 
@@ -37,18 +38,25 @@ class Rules:
     slow_ports: int = 30
 
 
-def measured(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """df (seq, ts_us, src_ip, dst_ip, dst_port, risk) with the counts that the rules look at, the row itself included."""
+def measured(df: DataFrame, rules: Rules = Rules(), hot_rows: int | None = None, slice_us: int = 3600 * SECOND) -> DataFrame:
+    """df (seq, ts_us, src_ip, dst_ip, dst_port, risk) with the counts that the rules look at, the row itself included.
+
+    Sources and destinations are swept once each. With hot_rows, those with more rows than that are cut into slices of time; df should then be a table.
+    """
     key, us = ("src_ip", "dst_ip", "dst_port"), lambda s: int(s * SECOND)
     risky = (F.col("risk") >= rules.suspicious).cast("int")
     out = df.withColumn("suspicious", prior_sum(risky, key, us(rules.window)) + risky)
-    out = out.withColumn("dst_flows", prior_sum(F.lit(1), ("dst_ip",), us(rules.ddos_window)) + 1)
-    out = out.withColumn("src_flows", prior_sum(F.lit(1), ("src_ip",), us(rules.burst_window)) + 1)
-    out = distinct_with_self(out, "dst_sources", "src_ip", ("dst_ip",), us(rules.ddos_window))
-    out = distinct_with_self(out, "dst_ports", "dst_port", ("dst_ip",), us(rules.fanout_window))
-    out = distinct_with_self(out, "src_ports", "dst_port", ("src_ip",), us(rules.scan_window))
-    out = distinct_with_self(out, "src_hosts", "dst_ip", ("src_ip",), us(rules.sweep_window))
-    return distinct_with_self(out, "src_ports_slow", "dst_port", ("src_ip",), us(rules.slow_window))
+    families = {
+        "src_ip": {"src_flows": (None, rules.burst_window), "src_ports": ("dst_port", rules.scan_window), "src_hosts": ("dst_ip", rules.sweep_window), "src_ports_slow": ("dst_port", rules.slow_window)},
+        "dst_ip": {"dst_flows": (None, rules.ddos_window), "dst_sources": ("src_ip", rules.ddos_window), "dst_ports": ("dst_port", rules.fanout_window)},
+    }
+    for by, measures in families.items():
+        spans = {n: (column, us(span)) for n, (column, span) in measures.items()}
+        hot = None if hot_rows is None else hot_keys(df, by, hot_rows)
+        cut = spread(out, by, hot, max(span for _, span in spans.values()), slice_us)
+        out = in_slices(cut, lambda by=by, spans=spans: Around(by, spans), ["seq"]).where("not context").drop("slice", "context")
+        out = out.withColumns({n: F.col(n).cast("long") for n in spans})
+    return out
 
 
 def _triggers(rules: Rules) -> dict[str, tuple[str, str, str]]:

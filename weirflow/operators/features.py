@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -71,21 +73,21 @@ def _turn(df: DataFrame) -> list[str]:
     return [c for c in TURN if c in df.columns]
 
 
-class _Sliced:
-    """A sweep whose keys are those of another and the slice of time."""
+def in_slices(df: DataFrame, make: Callable[[], Sweep], turn: Sequence[str]) -> DataFrame:
+    """df (with slice, see windows.spread) with the features of a sweep over each key and slice."""
+    sample = make()
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in sample.names]])
 
-    def __init__(self, sweep: Sweep):
-        self.sweep = sweep
+    def sliced() -> Sweep:
+        sweep = make()
         sweep.keys = (*sweep.keys, "slice")
+        return sweep
 
-    def batch(self, batch):
-        return self.sweep.batch(batch)
+    return swept(df, (*sample.keys, "slice"), schema, sliced, seq=turn)
 
 
 def _swept(df: DataFrame, sweep: type[Sweep]) -> DataFrame:
-    added = [StructField(n, DoubleType()) for n in sweep.names]
-    schema = StructType([*df.schema.fields, *added])
-    return swept(df, (*sweep.keys, "slice"), schema, lambda: _Sliced(sweep()), seq=_turn(df))
+    return in_slices(df, sweep, _turn(df))
 
 
 def sane(value: Column, name: str, high: float | None) -> Column:

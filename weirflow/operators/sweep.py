@@ -250,3 +250,28 @@ class ByDestination(Sweep):
         end = end_us(ts, duration)
         self.src_60.add(src), self.src_10.add(src), self.active.add(ts, end), service.add(ts, end)
         return out
+
+
+class Around(Sweep):
+    """Counts over the rows of a key in a span up to each row, the row itself included: of all rows, or of the distinct values of a column."""
+
+    def __init__(self, key: str, measures: dict[str, tuple[str | None, int]]):
+        super().__init__()
+        self.keys, self.names = (key,), tuple(measures)
+        self.spans = [span for _, span in measures.values()]
+        columns = [column for column, _ in measures.values()]
+        self.reads = tuple(dict.fromkeys(c for c in columns if c is not None))
+        self.places = [self.reads.index(c) if c is not None else None for c in columns]
+
+    def start(self) -> None:
+        self.held = [(deque(), Histogram()) for _ in self.spans]
+
+    def row(self, ts, *values) -> tuple:
+        out = []
+        for (rows, counts), span, place in zip(self.held, self.spans, self.places):
+            while rows and rows[0][0] < ts - span:
+                counts.remove(rows.popleft()[1])
+            value = None if place is None else values[place]
+            rows.append((ts, value)), counts.add(value)
+            out.append(counts.n if place is None else counts.distinct)
+        return tuple(out)
