@@ -152,3 +152,28 @@ def test_lines_that_are_no_json_objects_are_left_out(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "seq long, value string")
     assert sorted(r.seq for r in eve.parsed(df).collect()) == [0, 5, 8]
     assert "_not_json" not in eve.parsed(df).columns
+
+
+def test_flows_are_estimated_by_their_own_width(spark):
+    """Rows cut from parsed lines are not taken for a thousandth of their size, which would have them broadcast."""
+    n = 5_000
+    lines = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit('{"event_type":"flow","flow_id":"f'), F.col("id").cast("string"), F.lit('","flow":{"age":1},"tcp":{"syn":true}}')).alias("value"))
+    flows = eve.to_flows(eve.parsed(lines, ("flow",)))
+    assert int(flows.select("seq")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= 8 * n
+    assert flows.count() == n
+
+
+def test_large_tables_by_event_are_not_broadcast(spark):
+    """Neither side of these joins has fewer rows than there are events."""
+    from weirflow.plans import queries as plans
+
+    for name in ("score_functions", "training_table"):
+        plan = plans.queries()[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan()
+        assert _least_side(plan, name) >= 8 * 100_000, name
+
+
+def _least_side(plan, name):
+    """Bytes that the smaller side of the plan's first join is estimated at."""
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    return min(int(plan.children().apply(k).stats().sizeInBytes()) for k in range(2))

@@ -419,7 +419,8 @@ SELECT d.seq, round(1 / (1 + exp(anomaly)), 6) AS sigmoid, round((hi - anomaly)
 """)
 def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly scores of a batch, help from context, caps and the hybrid label."""
-    d = pipelines.decided(scored_rows(spark, sf_dir)).join(event_rows(spark, sf_dir).select("seq", "event_type"), "seq")
+    # Both sides have a row for each event: they are shuffled at any size.
+    d = pipelines.decided(scored_rows(spark, sf_dir)).join(event_rows(spark, sf_dir).select("seq", "event_type").hint("merge"), "seq")
     helper = F.when(F.col("seq") % 2 == 0, "HIGH").otherwise("LOW")
     out = d.select(
         "seq", decisions.anomaly_sigmoid(F.col("anomaly")).alias("sigmoid"), decisions.anomaly_spread(F.col("anomaly"), "event_type").alias("spread"), decisions.assisted(F.col("decision"), helper).alias("assisted"),

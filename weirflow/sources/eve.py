@@ -67,6 +67,16 @@ def read_lines(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     return rows.select("value", F.col("_metadata.file_path").alias("path"), line_number(rows).alias("seq"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is evaluated once, whatever reads it later: it comes from a generator of one row.
+
+    The array is a column before it is exploded. Spark takes the size of what a generator gives for that of its input, so that rows cut from a wide
+    value would else be estimated at a thousandth of their size, and be broadcast.
+    """
+    held = fresh(df, f"{name}_held")
+    return df.withColumn(held, F.array(value)).withColumn(name, F.explode(held)).drop(held)
+
+
 def parsed(lines: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """lines with the event as a struct; lines that are no JSON object are left out.
 
@@ -74,9 +84,8 @@ def parsed(lines: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """
     if types:
         lines = lines.where(F.col("value").rlike(r'"event_type"\s*:\s*"\s*(?i:%s)\s*"' % "|".join(types)))
-    # A generator of one row: what is filtered or taken from the event later does not parse the line again.
-    events = F.array(F.from_json("value", _READ, _OPTIONS))
-    out = lines.where(F.trim("value").startswith("{")).withColumn("event", F.explode(events)).where(F.col(f"event.{_BAD}").isNull())
+    # What is filtered or taken from the event later does not parse the line again.
+    out = once(lines.where(F.trim("value").startswith("{")), "event", F.from_json("value", _READ, _OPTIONS)).where(F.col(f"event.{_BAD}").isNull())
     return out.where(F.lower(F.trim(F.col("event.event_type"))).isin(*types)) if types else out
 
 
@@ -123,7 +132,7 @@ def to_flows(events: DataFrame, dedupe: bool = False, benign_only: bool = False,
     is_object = F.coalesce(F.trim(e("tcp")).startswith("{"), F.lit(False))
     # As in parsed(): all flags come from one parse.
     tcp = fresh(rows, "tcp_object")
-    rows = rows.withColumn(tcp, F.explode(F.array(F.try_parse_json(F.when(is_object, e("tcp"))))))
+    rows = once(rows, tcp, F.try_parse_json(F.when(is_object, e("tcp"))))
     mark = lambda name: F.when(is_object & flag(F.col(tcp), name), 1).otherwise(0).cast("long")
     out = rows.select(
         "seq",
