@@ -389,3 +389,26 @@ def test_matching_statistics():
             want = k
         assert got == want, end
     assert not any(hasattr(index, n) for n in ("order", "text"))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_of_chains_and_stars(spark, few, monkeypatch):
+    """Both ways give the smallest node of each component; few edges take no rounds, each of which is a table and many small stages."""
+    import random
+
+    from weirflow.llm.common import Scratch
+    from weirflow.llm.linkage import components as linked_nodes
+
+    draw = random.Random(5)
+    edges = [(7 * i, 7 * i + 7) for i in range(40)] + [(-5, 1000 + i) for i in range(30)] + [(3000 + i, 3000 + draw.randrange(60)) for i in range(60)] + [(9, 9), (-5, 1000), (1000, -5)]
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for u, v in edges:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    tables, replaced = [], Scratch.replaced
+    monkeypatch.setattr(Scratch, "replaced", lambda self, df, label, keep=1: tables.append(label) or replaced(self, df, label, keep))
+    with Scratch(spark) as scratch:
+        found = linked_nodes(spark.createDataFrame(edges, "u long, v long"), scratch, *([few] if few == 0 else []))
+        assert {r.node: r.label for r in found.collect()} == least
+    assert (len(tables) > 2) == (few == 0)
