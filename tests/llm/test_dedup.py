@@ -412,3 +412,27 @@ def test_components_of_chains_and_stars(spark, few, monkeypatch):
         found = linked_nodes(spark.createDataFrame(edges, "u long, v long"), scratch, *([few] if few == 0 else []))
         assert {r.node: r.label for r in found.collect()} == least
     assert (len(tables) > 2) == (few == 0)
+
+
+def test_a_shard_costs_no_square_of_its_size(monkeypatch):
+    """Levels much larger than a batch are searched, not read as a whole for each batch; merges hold a part of a level at a time."""
+    import numpy as np
+
+    rng, plain = np.random.default_rng(8), suffix_dedup._windows
+    monkeypatch.setattr(suffix_dedup, "BATCH", 8)
+    monkeypatch.setattr(suffix_dedup, "PART", 100, raising=False)
+
+    def touched(batches):
+        read = []
+        monkeypatch.setattr(suffix_dedup, "_windows", lambda data, starts, width: read.append(len(starts)) or plain(data, starts, width))
+        pieces = [bytes(rng.integers(0, 9, 20).astype(np.uint8)) for _ in range(8 * batches)]
+        ranks, width = rng.permutation(len(pieces)), 5
+        masks = suffix_dedup._judge(width)(pieces, np.arange(len(pieces)), ranks, np.ones(len(pieces)))
+        first = {}
+        for p, r in zip(pieces, ranks.tolist()):
+            for k in range(len(p) - width + 1):
+                first[p[k : k + width]] = min(first.get(p[k : k + width], r), r)
+        assert masks.tolist() == [sum(1 << k for k in range(len(p) - width + 1) if first[p[k : k + width]] < r) for p, r in zip(pieces, ranks.tolist())]
+        return sum(read)
+
+    assert touched(256) < 8 * touched(64)
