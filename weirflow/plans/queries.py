@@ -809,3 +809,10 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(SQL)
+
+
+def __getattr__(name: str) -> Query:
+    """The queries of the other modules, by name."""
+    if not name.startswith("_") and name in queries():
+        return QUERIES[name]
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
