@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.llm.common import SPACE_CHARS, Scratch, fresh, text_blocks, written
+from weirflow.llm.common import SPACE_CHARS, Scratch, fresh, giving_back, text_blocks, written
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -78,6 +78,7 @@ def _normalised(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _prints(primes: tuple[int, int]):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             bodies = _normalised(batch)
@@ -99,6 +100,7 @@ def _prints(primes: tuple[int, int]):
 
 
 def _pieces(primes: tuple[int, int], size: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             rows: list[tuple] = []
@@ -118,6 +120,7 @@ _MARK = "row long, fp_a long, fp_b long, length long"
 def _piece_marks(primes: tuple[int, int]):
     """The polynomials and length of each piece (columns row, no, piece) without its white space."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = [p.translate(None, _DELETE) for p in batch.column("piece").to_pylist()]
@@ -130,6 +133,7 @@ def _piece_marks(primes: tuple[int, int]):
 def _combined(primes: tuple[int, int]):
     """A text's polynomials and length from those of its pieces in order (columns row, pieces)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

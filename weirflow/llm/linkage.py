@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import Scratch
+from weirflow.llm.common import Scratch, giving_back
 
 
 #: Edges (16 bytes each) that one task may hold. Rounds of stars over so few take a hundred small stages, whose tasks the driver keeps records of.
@@ -32,6 +32,7 @@ def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = label[label]
 
 
+@giving_back
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
     if edges:

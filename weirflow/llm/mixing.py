@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weirflow.llm.common import SPACE, fresh, text_blocks, written
+from weirflow.llm.common import SPACE, fresh, giving_back, text_blocks, written
 
 WEIGHTS = (3, 1, 2)
 #: Words of a shard, about; the smallest and the largest block; between them a block is a FINENESS-th of all words.
@@ -156,6 +156,7 @@ def chosen_words(size: int, rounds: int, ahead: int, block: int, blocks: int, qu
 def _taken_texts(place: int, chars: int | None):
     """Rows with each text as often as it is taken whole, and once with its chosen words."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(f"[^{SPACE}]+")
         for batch in text_blocks_at(batches, place):

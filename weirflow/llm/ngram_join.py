@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import Scratch, fresh, shard_count, text_blocks, written
+from weirflow.llm.common import Scratch, fresh, giving_back, giving_back_group, shard_count, text_blocks, written
 from weirflow.llm.linkage import components
 
 #: Buckets in which tasks count shingles, and the frequent ones that a task reports and that are kept.
@@ -131,6 +131,7 @@ _SETS = "kind int, doc_id long, row long, n_shingles long, sid long, bucket long
 def _sets(n: int):
     """A row for each document (kind 0), and a task's frequent buckets (kind 1)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
         names = ["kind", "doc_id", "row", "n_shingles", "sid", "bucket", "count"]
@@ -173,6 +174,7 @@ def size_band(sizes: np.ndarray, percent: int) -> np.ndarray:
 def _prefixes(n: int, percent: int, shards: int, frequent):
     """Blobs of prefix entries by shard. Copies of a set in a task count once."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, level, known = WordHashes(), np.zeros(BUCKETS, np.uint8), set()
         if len(frequent.value):
@@ -335,6 +337,7 @@ _NO_NODES = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("sid", pa.i
 def _partners(percent: int):
     """Of a shard, the nodes that may have a partner, each with its entries."""
 
+    @giving_back_group
     def run(group: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in group.column("blob").combine_chunks()])
         entries = entries[in_order(entries)]
@@ -349,6 +352,7 @@ def _partners(percent: int):
 def _apart(percent: int):
     """Of a shard's nodes (shard, part, sid, label, blob), those that may have a partner with another label, large tiles in pairs of blocks."""
 
+    @giving_back_group
     def run(group: pa.Table) -> pa.Table:
         entries, node = _entries(group)
         order = in_order(entries)
@@ -451,6 +455,7 @@ _FOUND = "a long, b long, u long, v long, " + _NODE
 def _tiles(percent: int, thin: bool):
     """Candidates (a, b) of a group's nodes (sid, label, bits, blob) with their labels (u, v), and the nodes whose pairs are held back."""
 
+    @giving_back_group
     def run(group: pa.Table) -> pa.Table:
         entries, node = _entries(group)
         order = in_order(entries)
@@ -481,6 +486,7 @@ _MARKS = "sid long, size long, bits binary, short binary, leaders array<long>, d
 def _marks(n: int):
     """Bitmaps, minima and sorted arrays of the sets asked for (columns text, sid)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in text_blocks(batches, 1 << 20):
@@ -517,6 +523,7 @@ def _led(percent: int):
                 best, most = leader, bound / max(1, size + leader[0] - bound)
         return best
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leaders = None, []
         for batch in batches:
@@ -546,6 +553,7 @@ _LINK = "a long, b long, u long, v long"
 
 
 def _verified(percent: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import text_blocks, written
+from weirflow.llm.common import giving_back, giving_back_group, text_blocks, written
 
 END = 1
 CACHE = 150_000
@@ -142,6 +142,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _cut(path: str, capacity: int, apart: bool):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_encoder(path)
         tail = np.array([END], "<u4").tobytes()
@@ -199,6 +200,7 @@ def vector_best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarra
 
 
 def _pack(capacity: tuple[float, float, float], weights: tuple[float, float, float]) -> Callable[[pa.Table], pa.Table]:
+    @giving_back_group
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         length = group.column("length").to_numpy().astype(float)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import one_text_each, text_blocks
+from weirflow.llm.common import giving_back, one_text_each, text_blocks
 from weirflow.llm.toxicity import fit_logistic
 
 #: Labelled rows that the model is fitted on, at most.
@@ -130,6 +130,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Disc
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+    @giving_back
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             values = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
@@ -148,6 +149,7 @@ def score(documents: DataFrame, model: Discriminant | Constant) -> DataFrame:
     """doc_id and score (0 to 1, higher: quality 1 likelier) of every row; a null text is empty, rows that repeat are scored each."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             values = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], float).reshape(-1, len(FEATURES))
@@ -176,6 +178,7 @@ def good(documents: DataFrame, labels: DataFrame, folds: int = 5, fold_out: int
     shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels.where(remainder != fold_out)))
     place = documents.columns.index("text")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches):
             values = np.array([statistics(t or "") for t in batch.column(place).to_pylist()], float).reshape(-1, len(FEATURES))
