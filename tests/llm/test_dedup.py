@@ -436,3 +436,22 @@ def test_a_shard_costs_no_square_of_its_size(monkeypatch):
         return sum(read)
 
     assert touched(256) < 8 * touched(64)
+
+
+def test_pairs_are_looked_at_in_small_blocks():
+    """Pairs of a tile grow with the square of its nodes: what is held of them at once must not add up to a large part of a worker."""
+    import tracemalloc
+
+    import numpy as np
+
+    entries = np.zeros(3000, ngram_join._ENTRY)
+    entries["size"], entries["sid"] = 300, np.arange(3000)
+    label = np.where(np.arange(3000) < 1500, 1, np.arange(3000))
+    tracemalloc.start()
+    try:
+        pairs = sum(len(a) for a, _ in ngram_join.allowed_pairs(entries, label, 80))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pairs == 1500 * 1500 + 1500 * 1499 // 2
+    assert peak < 48 << 20
